@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, ring
+import public_tokenizers
+
+from . import bpe, chat_format, exact_dedup, pii, ring
 from .common import documents
 
 
@@ -45,6 +47,21 @@ FROM e GROUP BY conv_id
 # 8: a text is preceded by <|next|> or followed by its block's <|body|>, of 8 code points each; 15: <|turn|> and <|end|>.
 
 
+def op4_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(documents(spark, sf_dir))
+    of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    n = F.floor(F.octet_length("ids") / 4).alias("n_tokens")
+    return coded.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
