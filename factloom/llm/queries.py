@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat_format, exact_dedup, packing, pii, ring
+from . import bpe, chat_format, exact_dedup, langid, media, packing, pii, ring
 from .common import documents
 
 
@@ -47,6 +47,14 @@ FROM e GROUP BY conv_id
 # 8: a text is preceded by <|next|> or followed by its block's <|body|>, of 8 code points each; 15: <|turn|> and <|end|>.
 
 
+def op2_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out), "lang", "text")
+    found = langid.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir))
     of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
@@ -86,6 +94,16 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 """
 
 
+def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", media.padded(F.col("text")).alias("payload"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    # Each document is a page with one figure; its caption carries the unpadded length.
+    figure = '<article><p>document</p><figure><img src="%s%s"><figcaption>%s bytes</figcaption></figure></article>'
+    pages = docs.select("doc_id", F.format_string(figure, F.lit(media.SCHEME), F.sha2("payload", 256), F.col("n")).alias("html"))
+    found = media.features(media.resolve(media.sequences(pages, "doc_id"), media.store(docs), "doc_id"), "doc_id")
+    n = F.split("caption", " ")[0].cast("long").alias("n_bytes")
+    return found.select("doc_id", n, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
