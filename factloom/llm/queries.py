@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat_format, exact_dedup, langid, media, packing, pii, ring
+from . import bpe, chat_format, exact_dedup, langid, media, near_dedup, packing, pii, ring
 from .common import documents
 
 
@@ -55,6 +55,10 @@ def op2_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir), words=5, percent=85)
+
+
 def op4_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir))
     of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
