@@ -36,7 +36,7 @@ from .common import Scratch
 #: Minwise values of a set; of the first ``PATHS`` the whole 64 bits are kept, to select paths.
 COORDINATES, PATHS = 64, 24
 #: Roots, branches of a node, and levels below the roots.
-TREES, BRANCHES, LEVELS = 8, 2, 16
+TREES, BRANCHES, LEVELS = 8, 2, 6
 #: Members of a node that is compared exhaustively; members and shingles of a group whose full sets are.
 NODE, CLUSTER, ELEMENTS = 512, 4096, 1_000_000
 #: Members of a node too large for a group that meet all its blocks.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat_format, exact_dedup, langid, media, near_dedup, packing, pii, ring
+from . import bpe, chat_format, exact_dedup, langid, media, near_dedup, packing, pii, repeats, ring
 from .common import documents
 
 
@@ -98,6 +98,11 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 """
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", media.padded(F.col("text")).alias("payload"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
     # Each document is a page with one figure; its caption carries the unpadded length.
