@@ -158,14 +158,17 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", profile: int =
     return Model(names, tuple(tuple(g for _, g in sorted(grams[n])) for n in names), profile)
 
 
-def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
     """``key``, ``lang_pred``, ``score``: 1 less the distance over the largest possible one; a row per input row.
 
     ``und`` with score 0 where the text is null or has no letter, or the model knows no language. Keys are
-    passed on as they are; only the two columns are read. One narrow pass; the model is a few thousand numbers.
+    passed on as they are; with ``carry``, the text and those columns follow, unchanged. No other column is read.
+    One narrow pass; the model is a few thousand numbers.
     """
-    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    kind = rows.schema["_key"].dataType.simpleString()
+    names = ["_key", "_text", *(f"_c{i}" for i in range(len(carry or ())))]
+    rows = df.select(key, text, *(carry or ())).toDF(*names)
+    kinds = dict(rows.dtypes)
+    extra = names[1:] if carry is not None else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks = model.table()
@@ -182,10 +185,12 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             return model.languages[best], 1.0 - float(sums[best]) / (len(own) * model.length)
 
         for batch in batches:
-            found = [judge(t) for t in batch.column(1).to_pylist()]
+            found = [judge(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=["_key", "lang_pred", "score"],
+                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *(batch.column(1 + i) for i in range(len(extra)))],
+                names=["_key", "lang_pred", "score", *extra],
             )
 
-    return rows.mapInArrow(run, f"_key {kind}, lang_pred string, score double").withColumnRenamed("_key", key)
+    schema = ", ".join([f"_key {kinds['_key']}", "lang_pred string", "score double", *(f"{n} {kinds[n]}" for n in extra)])
+    carried = [] if carry is None else [text, *carry]
+    return rows.mapInArrow(run, schema).toDF(key, "lang_pred", "score", *carried)

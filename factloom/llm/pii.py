@@ -147,13 +147,15 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 SCHEMA = "spans array<struct<kind:string,start:int,end:int>>, redacted string"
 
 
-def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``spans array<struct<kind,start,end>>`` (code points, end exclusive), ``redacted string``.
 
-    One row per input row, in one narrow pass without a shuffle. Null texts count as empty: no spans, redacted
-    is empty. Null and repeated keys are passed on; only the two columns are read.
+    One row per input row, in one narrow pass without a shuffle; the columns of ``carry`` follow unchanged. Null
+    texts count as empty: no spans, redacted is empty. Null and repeated keys are passed on; no other column is
+    read.
     """
-    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    names = ["_key", "_text", *(f"_c{i}" for i in range(len(carry)))]
+    rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")), *carry).toDF(*names)
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +164,8 @@ def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             found = [find_spans(t) for t in texts]
             spans = pa.array([[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in f] for f in found], spans_type)
             redacted = pa.array([redact(t, f) if f else t for t, f in zip(texts, found, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), spans, redacted], names=["_key", "spans", "redacted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans, redacted, *batch.columns[2:]], names=["_key", "spans", "redacted", *names[2:]])
 
-    kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(scan, f"_key {kind}, {SCHEMA}").withColumnRenamed("_key", key)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([f"_key {kinds['_key']}", SCHEMA, *(f"{n} {kinds[n]}" for n in names[2:])])
+    return rows.mapInArrow(scan, schema).toDF(key, "spans", "redacted", *carry)
