@@ -1,9 +1,79 @@
-"""A corpus pipeline over ``documents``: placeholder until its stages are there."""
+"""A corpus pipeline over ``documents``: language, exact copies, near copies, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All stages but the last
+return the columns of ``documents``. Edge cases are those of the operators: null texts count as empty, empty
+tables pass through. SQL cannot state the stages; tests hold them against brute force.
+"""
+
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.llm import exact_dedup, langid, near_dedup, packing, pii
+from factloom.llm.common import Scratch, documents
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Pieces of at most so many rows' decisions are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose ``doc_id`` is not among those dropped; the list's size decides how it is sent."""
+    dropped = Scratch(docs.sparkSession, "dropped").save(dropped.select("doc_id"))
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti").select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: null, or without any letter. ``lang`` becomes the predicted one.
+
+    The model learns from the labelled rows of the stage's own input. Doubtful documents stay: a low score alone
+    is no reason to lose clean text.
+    """
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out))
+    found = langid.predict(docs, model, carry=("lang", "source", "n_chars"))
+    found = found.where(F.col("lang_pred") != "und")
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the longest original of each group of texts equal without white space, then the smallest id."""
+    return _without(docs, exact_dedup.exact_dedup(docs).where("NOT kept"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each component of five-word shingle sets linked at a similarity of 0.8."""
+    return _without(docs, near_dedup.near_dedup(docs, words=5, percent=80).where("NOT kept"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces each span of personal data by its kind in angle brackets; ``n_chars`` follows the new text."""
+    found = pii.find_pii(docs, carry=("lang", "source"))
+    return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.char_length("redacted").cast("long").alias("n_chars"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens, a row per piece."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1)
+
+
+STAGES = [
+    ("language", language),
+    ("exact copies", exact_copies),
+    ("near copies", near_copies),
+    ("personal data", personal_data),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each one's rows written to the shared folder before the next reads them."""
+    scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
