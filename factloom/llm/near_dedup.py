@@ -6,11 +6,11 @@ document's class is its connected component. The steps:
 1. One narrow pass turns each text into its set's digest, ``COORDINATES`` minwise values and one byte of each.
    Equal sets become one class with its smallest id.
 2. Independent trees: a tree's root deals the classes to nodes by one minwise token; a node above ``NODE``
-   members is branched again by ``BRANCHES`` minwise tokens that its own path selects. Small nodes are compared
+   members is branched again by up to ``BRANCHES`` minwise tokens that its own path selects, 1.5 on average. Small nodes are compared
    exhaustively on the bytes (a loose bar, ``likely``), and give candidate clusters.
-   With similarity s, a pair misses all roots with probability (1 - s) ** trees (2.6e-7 at 0.85 and 8 trees);
-   two branches a level keep 97 of 100 pairs of 0.85 in a branched tree at any depth; the loose bar misses fewer
-   than 1 in 100,000 pairs at the threshold.
+   With similarity s, a pair misses all roots with probability (1 - s) ** trees (2.6e-7 at 0.85 and 8 trees); in a
+   tree that branches at any depth 76 of 100 pairs of 0.85 stay together, so that 8 trees miss 1 in 100,000; the
+   loose bar misses fewer than 1 in 100,000 pairs at the threshold. Pairs below 2/3 get fewer at each level.
 3. Each class belongs to one cluster. A cluster whose sets fit (``CLUSTER`` members, ``ELEMENTS`` shingles) is one
    group; a larger one is branched by the same trees until its nodes fit. In each group full sets are intersected
    exhaustively, so links are exact and none between different texts of a group is lost.
@@ -38,7 +38,7 @@ COORDINATES, PATHS = 64, 24
 #: Roots, branches of a node, and levels below the roots.
 TREES, BRANCHES, LEVELS = 8, 2, 6
 #: Members of a node that is compared exhaustively; members and shingles of a group whose full sets are.
-NODE, CLUSTER, ELEMENTS = 512, 4096, 1_000_000
+NODE, CLUSTER, ELEMENTS = 4096, 4096, 1_000_000
 #: Members of a node too large for a group that meet all its blocks.
 PIVOTS = 16
 #: Rows up to which the list of documents to verify is broadcast (16 bytes each); beyond, it is joined by a shuffle.
@@ -165,7 +165,8 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     """Smallest index of each index's component, for a symmetric matrix."""
     at = np.arange(len(linked))
     while True:
-        new = np.minimum(at, np.where(linked, at[None, :], len(linked)).min(axis=1))
+        least = [np.where(linked[i : i + 256], at[None, :], len(linked)).min(axis=1) for i in range(0, len(linked), 256)]
+        new = np.minimum(at, np.concatenate(least))
         new = new[new]
         if (new == at).all():
             return at
@@ -211,10 +212,12 @@ def _tree_nodes(classes: DataFrame, trees: int, within: str | None = None) -> Da
 
 
 def _children(rows: DataFrame, branches: int) -> DataFrame:
-    """Each member of a node in the children that the node's path selects."""
+    """Each member of a node in the children that the node's path selects: all branches in half the nodes, else one."""
     coordinate = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(PATHS)).cast("int")
     child = lambda i: F.xxhash64("node", F.lit(i), F.get("paths", coordinate(i)))
-    return rows.withColumn("node", F.explode(F.array(*(child(i) for i in range(branches)))))
+    wide = F.pmod(F.xxhash64("node", F.lit("wide")), F.lit(2)) == 0
+    chosen = F.when(wide, F.array(*(child(i) for i in range(branches)))).otherwise(F.array(child(0)))
+    return rows.withColumn("node", F.explode(chosen))
 
 
 def _branched(rows: DataFrame, fits: Column, bar: int, branches: int, levels: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -291,10 +294,14 @@ def _candidates(bar: int, percent: int) -> Callable[[pa.Table], Iterator[tuple[i
     def compare(node: pa.Table) -> Iterator[tuple[int, int]]:
         ids, n = node.column("id").to_numpy(), node.column("n").to_numpy()
         sketch = np.frombuffer(b"".join(node.column("bytes").to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
-        equal = np.zeros((len(ids), len(ids)), np.uint8)
-        for c in range(COORDINATES):
-            equal += sketch[:, c, None] == sketch[None, :, c]
-        near = (equal >= bar) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+        near = np.empty((len(ids), len(ids)), bool)
+        for at in range(0, len(ids), 256):
+            rows = slice(at, at + 256)
+            equal = np.zeros((len(ids[rows]), len(ids)), np.uint8)
+            for c in range(COORDINATES):
+                equal += sketch[rows, c, None] == sketch[None, :, c]
+            own = n[rows, None]
+            near[rows] = (equal >= bar) & (100 * np.minimum(own, n[None, :]) >= percent * np.maximum(own, n[None, :]))
         roots = _roots(near)
         for i in np.flatnonzero(roots != np.arange(len(ids))):
             yield int(ids[i]), int(ids[roots[i]])
@@ -333,8 +340,10 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
             break
         a, b = r[same], r[same + gap]
         np.add.at(flat, np.concatenate([a * len(sets) + b, b * len(sets) + a]), 1)
-    union = n[:, None] + n[None, :] - common
-    linked = 100 * common.astype(np.int64) >= percent * union.astype(np.int64)
+    linked = np.empty(common.shape, bool)
+    for at in range(0, len(sets), 256):
+        both = common[at : at + 256].astype(np.int64)
+        linked[at : at + 256] = 100 * both >= percent * (n[at : at + 256, None] + n[None, :] - both)
     np.fill_diagonal(linked, False)
     return linked
 
