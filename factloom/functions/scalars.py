@@ -60,7 +60,7 @@ def rule_key(rule_id: Column) -> Column:
 
 
 def severity_rank(label: Column) -> Column:
-    """Place on the severity ladder, from 0; null for an unknown label."""
+    """Place on the severity ladder, from 0; -1 for an unknown label."""
     return F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), F.lower(label)).cast("int") - 1
 
 
