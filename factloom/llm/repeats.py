@@ -31,11 +31,9 @@ from .common import Scratch
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are hashed at once; anchors and contexts that a task compares at once.
-PIECE, CHUNK, BLOCK = 4_000_000, 2_000_000, 1_500_000
+PIECE, CHUNK, BLOCK = 4_000_000, 2_000_000, 300_000
 #: Contexts of an anchor beyond which its strings are grouped one by one.
 CROWD = 20_000
-#: Bytes up to which a list of documents is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_BYTES = 12_000_000
 NULL_ID = 2**63 - 1
 
 _U = np.uint64
@@ -136,9 +134,15 @@ def _cut(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, int, int]] = {}
-        covered: list[tuple[int, int, int]] = []
+        covered: list[list[int]] = []
         size = 0
 
+        def cover(doc: int, start: int, end: int) -> None:
+            if covered and covered[-1][0] == doc and covered[-1][1] <= start <= covered[-1][2]:
+                covered[-1][2] = max(end, covered[-1][2])
+            else:
+                covered.append([doc, start, end])
+
         def out() -> Iterator[pa.RecordBatch]:
             rest = [(None, i, a, b, None) for i, a, b in covered]
             rest += [(h, i, a, None, c) for c, (i, a, h) in seen.items()]
@@ -165,9 +169,9 @@ def _cut(rows: DataFrame, length: int, gram: int) -> DataFrame:
                         size += len(c)
                     elif old[:2] <= (key, a):
                         if old[:2] != (key, a):
-                            covered.append((key, a, a + len(c)))
+                            cover(key, a, a + len(c))
                     else:
-                        covered.append((old[0], old[1], old[1] + len(c)))
+                        cover(old[0], old[1], old[1] + len(c))
                         seen[c] = (key, a, anchor)
                 if size > 32_000_000 or len(covered) > 500_000:
                     yield from out()
@@ -188,7 +192,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     near_end = np.zeros(n, bool)
     for k in range(7):
         near_end[np.maximum(ends - k, 0)] = True
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | near_end[order][1:] | near_end[order][:-1]])
     rank = np.empty(n, np.int64)
     width = 7
@@ -200,7 +204,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
             return order
         at = order[open_]
         ahead = rank[np.minimum(at + width, n - 1)]
-        again = np.lexsort((ahead, rank[at]))
+        again = np.argsort(rank[at] * n + ahead)
         order[open_] = at[again]
         head, follow = rank[at[again]], ahead[again]
         new[open_] = np.concatenate([[True], (head[1:] != head[:-1]) | (follow[1:] != follow[:-1])])
@@ -216,15 +220,15 @@ def intervals(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray
     places they come from parted at level l: a boundary found at l is the common prefix's length.
     """
     n = len(order)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     come_from = place[np.minimum(order + 1, n - 1)]  # inverse of the backward step
     first = symbols[order]
     parted = np.concatenate([[True], (first[1:] != first[:-1]) | (first[1:] == 0)])
     undecided = np.flatnonzero(~parted)
     a, b = come_from[undecided - 1], come_from[undecided]
     for _ in range(1, length):
-        group = np.cumsum(parted)
+        group = np.cumsum(parted, dtype=np.int32)
         split = group[a] != group[b]
         if split.any():
             parted[undecided[split]] = True
@@ -236,16 +240,8 @@ def intervals(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray
 
 
 def repeats_in_block(rows: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
-    """Spans (id, start, end) covered by strings that start earlier, among contexts (id, start, bytes)."""
-    rows = sorted(rows)
-    known: dict[bytes, int] = {}
-    spans, kept = [], []
-    for doc, start, c in rows:
-        if c in known:
-            spans.append((doc, start, start + len(c)))
-        else:
-            known[c] = 1
-            kept.append((doc, start, c))
+    """Spans (id, start, end) covered by strings that start earlier, among distinct contexts (id, start, bytes)."""
+    kept, spans = sorted(rows), []
     sizes = np.array([len(c) for *_, c in kept], np.int64)
     data = np.frombuffer(b"\0".join([c for *_, c in kept]) + b"\0", np.uint8)
     ends = np.cumsum(sizes + 1) - 1
@@ -253,17 +249,19 @@ def repeats_in_block(rows: list[tuple[int, int, bytes]], length: int) -> list[tu
     symbols[ends] = 0
     order = suffix_order(symbols, length)
     group = intervals(symbols, order, length)
-    # Places where a whole string starts; contexts are in order of (id, start), so the earliest has the least place
-    # unless contexts of one document overlap, where (document, offset) decides.
+    # Places in one interval where a whole string starts, by (document, offset); all but the first repeat it.
     owner = np.repeat(np.arange(len(kept)), sizes + 1)
     offset = np.arange(len(data)) - np.repeat(ends - sizes, sizes + 1)
     whole = np.repeat(sizes, sizes + 1) - offset >= length
     ids, starts = np.array([k[0] for k in kept], np.int64), np.array([k[1] for k in kept], np.int64)
     at = order[whole[order]]
     g = group[whole[order]]
+    same = g[1:] == g[:-1]
+    several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    at, g = at[several], g[several]
     where = starts[owner[at]] + offset[at]
     turn = np.lexsort((where, ids[owner[at]], g))
-    repeat = np.concatenate([[False], g[turn][1:] == g[turn][:-1]])
+    repeat = np.concatenate([[False], g[turn][1:] == g[turn][:-1]]) if len(at) else np.zeros(0, bool)
     hit = np.sort(at[turn[repeat]])
     if len(hit):
         heads = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])]))
@@ -277,20 +275,31 @@ def repeats_in_block(rows: list[tuple[int, int, bytes]], length: int) -> list[tu
 def _compared(rows: DataFrame, length: int, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple[int, int, bytes]] = []
+        spans: list[tuple[int, int, int]] = []
         size = 0
         group: list[tuple[int, int, bytes]] = []
         current = None
 
         def out() -> pa.RecordBatch:
-            spans = repeats_in_block(ready, length)
-            ready.clear()
-            return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], pa.int64()) for i in range(3)], names=["id", "start", "end"])
+            if ready:
+                spans.extend(repeats_in_block(ready, length))
+                ready.clear()
+            made = pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], pa.int64()) for i in range(3)], names=["id", "start", "end"])
+            spans.clear()
+            return made
 
         def close() -> int:
-            if len(group) > 1:  # an anchor that false company brought here has nothing to be compared with
-                ready.extend(group)
-                return sum(len(c) for *_, c in group)
-            return 0
+            """Equal contexts of different chunks are settled here; an anchor's only context has no company."""
+            distinct: dict[bytes, tuple[int, int]] = {}
+            for doc, start, c in sorted(group):
+                if c in distinct:
+                    spans.append((doc, start, start + len(c)))
+                else:
+                    distinct[c] = (doc, start)
+            if len(distinct) < 2:
+                return 0
+            ready.extend((doc, start, c) for c, (doc, start) in distinct.items())
+            return sum(map(len, distinct))
 
         for batch in batches:
             for anchor, doc, start, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -298,13 +307,12 @@ def _compared(rows: DataFrame, length: int, block: int) -> DataFrame:
                     size += close()
                     group.clear()
                     current = anchor
-                    if size > block:
+                    if size > block or len(spans) > 50_000:
                         yield out()
                         size = 0
                 group.append((doc, start, c))
         close()
-        if ready:
-            yield out()
+        yield out()
 
     ordered = rows.select("anchor", "id", "start", "context").repartition("anchor").sortWithinPartitions("anchor")
     return ordered.mapInArrow(run, "id long, start long, end long")
@@ -320,12 +328,6 @@ def _one_by_one(rows: DataFrame, length: int) -> DataFrame:
     return later.select("id", "start", (F.col("start") + length).alias("end"))
 
 
-def _listed(df: DataFrame, size: str) -> DataFrame:
-    """The saved list, to be broadcast if its checked size allows."""
-    total = df.agg(F.sum(F.size(size) * 16 + 64)).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
-
-
 def remove_repeats(
     df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, crowd: int = CROWD
 ) -> DataFrame:
@@ -344,7 +346,7 @@ def remove_repeats(
     told = anchors.where("kind < 2").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("anchor")))  # a chunk tells once
     repeated = told.where("_n > 1 OR kind = 1").select("id", "anchor").union(anchors.where("kind = 2").select("id", "anchor"))
     lists = scratch.save(repeated.groupBy("id").agg(F.collect_list("anchor").alias("anchors")))
-    cut = scratch.save(_cut(rows.join(_listed(lists, "anchors"), "id").select("id", "text", "anchors"), length, gram))
+    cut = scratch.save(_cut(rows.join(lists, "id").select("id", "text", "anchors"), length, gram))
     scratch.drop(anchors)
 
     found = cut.where("context IS NOT NULL")
@@ -359,8 +361,7 @@ def remove_repeats(
 
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     whole = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), none.alias("spans"), F.lit(None).cast("binary").alias("kept"), F.sha2("text", 256).alias("kept_sha256"))
-    listed = _listed(spans, "spans")
-    out = whole.join(listed.select("id"), "id", "left_anti").union(_without(rows.join(listed, "id").select("id", "text", "spans")))
+    out = whole.join(spans.select("id"), "id", "left_anti").union(_without(rows.join(spans, "id").select("id", "text", "spans")))
     return out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", key)
 
 
