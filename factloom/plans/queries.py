@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import findings, flow, graph, joins
+from ..operators import findings, flow, graph, joins, patterns, scopes
 from ..operators.collection import FactSet, section_counts, top_of_sections
 from ..operators.selectors import Effect, Fn, Source, When, any_of, comparing
 from .views import sql_of, table, view
@@ -522,3 +522,57 @@ def swallowed_rejection_first_raise(spark: SparkSession, d: str) -> DataFrame:
     raises = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
     raises = raises.join(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
     return raises.groupBy("o_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey")).getField("l_partkey").alias("rejection"))
+
+
+# --- patterns and scopes --------------------------------------------------------------------------------------
+
+_CALLS = "SELECT l_orderkey * 10 + l_linenumber AS site, CASE WHEN l_tax > 0.05 THEN '' ELSE CASE WHEN l_returnflag = 'A' THEN 'web' ELSE 'flask' END || '.' END || lower(l_linestatus) || CAST(l_suppkey % 20 AS STRING) AS callee FROM {}"
+_PATTERNS = "SELECT DISTINCT 'p' || CAST(s_suppkey % 20 AS STRING) AS pattern, 'flask.o' || CAST(s_suppkey % 20 AS STRING) AS fqn FROM {}"
+
+
+@query(f"""WITH c AS (SELECT *, CASE WHEN callee LIKE 'web.%' THEN 'flask' || substring(callee, 4) ELSE callee END AS canonical FROM ({_CALLS.format("lineitem")})), p AS ({_PATTERNS.format("supplier")}),
+m AS (SELECT site, callee, canonical, pattern, fqn, 'exact' AS how FROM c JOIN p ON canonical = fqn
+  UNION ALL SELECT site, callee, canonical, pattern, fqn, 'name' FROM c JOIN p ON 'flask.' || canonical = fqn WHERE NOT contains(canonical, '.'))
+SELECT * FROM m WHERE how = 'exact' OR site NOT IN (SELECT site FROM m WHERE how = 'exact')""")
+def pattern_call_matches(spark: SparkSession, d: str) -> DataFrame:
+    calls = spark.sql(_CALLS.format("{lineitem}"), lineitem=table(spark, d, "lineitem"))
+    known = spark.sql(_PATTERNS.format("{supplier}"), supplier=table(spark, d, "supplier"))
+    aliases = spark.sql("SELECT 'web' AS alias, 'flask' AS target")
+    return patterns.match_calls(calls, known, aliases).select("site", "callee", "canonical", "pattern", "fqn", "how")
+
+
+@query("""SELECT 'lib' || n_nationkey AS provider, lower(replace(n_name, '_', '.')) AS library FROM nation
+WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 0)""")
+def provider_activation(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation")
+    library = F.lower(F.replace("n_name", F.lit("_"), F.lit(".")))
+    providers = nation.select(F.concat(F.lit("lib"), F.col("n_nationkey").cast("string")).alias("provider"), library.alias("library"))
+    used = table(spark, d, "supplier").where("s_acctbal > 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    imports = used.select(F.concat(library, F.lit(".sub.s"), F.col("s_suppkey").cast("string")).alias("module"))
+    return patterns.active(providers, imports).select("provider", "library")
+
+
+@query("""SELECT p_brand AS provider, p_type AS phase, count(*) AS declared, count(l_partkey) AS matched FROM part
+LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_tax > 0.07) ON l_partkey = p_partkey GROUP BY 1, 2""")
+def provider_coverage(spark: SparkSession, d: str) -> DataFrame:
+    declared = table(spark, d, "part").select(F.col("p_brand").alias("provider"), F.col("p_type").alias("phase"), F.col("p_partkey").alias("pattern"))
+    return patterns.coverage(declared, table(spark, d, "lineitem").where("l_tax > 0.07").select(F.col("l_partkey").alias("pattern")))
+
+
+_OWNERS = "SELECT 'r' || CAST(c_custkey AS STRING) AS owner, 'C:' || CAST(c_custkey AS STRING) AS handler, c_mktsegment AS grp FROM {}"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {sql_of("dag")} x), o AS ({_OWNERS.format("customer")}),
+h AS (SELECT DISTINCT 'N:' || n_nationkey AS hook, 'BUILDING' AS grp FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'X:0', NULL),
+r(root, node, depth) AS (SELECT root, root, 0 FROM (SELECT handler AS root FROM o UNION SELECT hook FROM h) y UNION SELECT root, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 2),
+s AS (SELECT owner, 'body' AS scope, handler AS function FROM o
+ UNION SELECT owner, 'reachable', node FROM o JOIN r ON root = handler
+ UNION SELECT owner, 'full_stack', node FROM o JOIN r ON root = handler
+ UNION SELECT owner, 'full_stack', node FROM o JOIN h ON h.grp IS NULL OR h.grp = o.grp JOIN r ON root = hook)
+SELECT owner, scope, count(DISTINCT function) AS n_functions FROM s GROUP BY 1, 2""")
+def scope_members_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    owners = spark.sql(_OWNERS.format("{customer}"), customer=table(spark, d, "customer")).withColumnRenamed("grp", "group")
+    hooks = table(spark, d, "nation").where("n_nationkey = 3").select(F.concat(F.lit("N:"), F.col("n_nationkey").cast("string")).alias("hook"), F.lit("BUILDING").alias("group"))
+    hooks = hooks.union(spark.sql("SELECT 'X:0', CAST(NULL AS STRING)"))
+    found = scopes.members(owners, view(spark, d, "dag"), hooks, 2)
+    return found.groupBy("owner", "scope").agg(F.countDistinct("function").alias("n_functions"))
