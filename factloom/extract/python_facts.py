@@ -39,7 +39,8 @@ class _Facts(ast.NodeVisitor):
         self.note(family, node, fqn, node.name, detail=detail, flag=self.kinds[-1] == "class")
         for d in node.decorator_list:
             call = d.func if isinstance(d, ast.Call) else d
-            self.note("decorators", d, _dotted(call), (_dotted(call) or "").rpartition(".")[2] or None, target=fqn)
+            given = ", ".join([*map(ast.unparse, d.args), *(f"{k.arg}={ast.unparse(k.value)}" for k in d.keywords)]) if isinstance(d, ast.Call) else ""
+            self.note("decorators", d, _dotted(call), (_dotted(call) or "").rpartition(".")[2] or None, target=fqn, detail=given)
             self.visit(d)
         self.stack.append(node.name)
         self.kinds.append(kind)
