@@ -87,3 +87,24 @@ def glob_regex(pattern: str) -> str:
             out.append({"*": ".*", "?": "."}.get(c, c if c.isalnum() or c == "_" else "\\" + c))
         i += 1
     return f"(?s)^{''.join(out)}$"
+
+
+#: Containers whose values a client can swap for one another, and those that carry a credential.
+SUBSTITUTABLE = ("query", "form", "json", "cookie", "header")
+CREDENTIALS = ("authorization", "token", "session", "api_key")
+
+
+def logical_input(container: Column, key: Column, equivalence: str = "exact") -> Column:
+    """Identity of a read, ``family:key``; null where the key is unknown.
+
+    ``exact``: the container itself; ``container``: containers that a client can swap count as one; ``credential``: keys
+    that carry a credential count as one, wherever they come from.
+    """
+    family = F.when(container.isin(*SUBSTITUTABLE), "forgeable").otherwise(container)
+    if equivalence == "exact":
+        return F.concat(container, F.lit(":"), key)
+    if equivalence == "container":
+        return F.concat(family, F.lit(":"), key)
+    if equivalence == "credential":
+        return F.when(F.lower(key).isin(*CREDENTIALS), "credential").otherwise(F.concat(family, F.lit(":"), key))
+    raise ValueError(f"{equivalence} is no equivalence")

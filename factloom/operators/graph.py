@@ -242,3 +242,71 @@ def linear_mro(bases: dict[str, list[str]], name: str, seen: tuple[str, ...] = (
         out.append(head)
         lines = [line[1:] if line[0] == head else line for line in lines]
     return out, True
+
+
+def _reach_all(starts: set[str], after: dict[str, set[str]], without: set[str]) -> set[str]:
+    seen = set(starts)
+    todo = list(starts)
+    while todo:
+        for x in after.get(todo.pop(), ()):
+            if x not in seen and x not in without:
+                seen.add(x)
+                todo.append(x)
+    return seen
+
+
+def branch_arms(edges: DataFrame) -> DataFrame:
+    """``graph``, ``block``, ``direction``, ``member``, ``in_arm`` for blocks with edges labelled true or false.
+
+    Members are what the direction's targets reach when the other direction's targets are blocked; those that the
+    other direction reaches as well (joins) are on the path but not in the arm. edges: ``graph``, ``src``, ``dst``, ``label``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+        names = ["graph", "block", "direction", "member", "in_arm"]
+        rows: list[tuple] = []
+        current, after, targets = None, {}, {}
+
+        def close() -> None:
+            for block, sides in targets.items():
+                ends = {d: sides.get(d, set()) - sides.get(o, set()) for d, o in (("true", "false"), ("false", "true"))}
+                found = {d: _reach_all(ends[d], after, sides.get(o, set())) for d, o in (("true", "false"), ("false", "true"))}
+                for d, o in (("true", "false"), ("false", "true")):
+                    rows.extend((current, block, d, x, x not in found[o]) for x in found[d])
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+            rows.clear()
+            return made
+
+        for batch in batches:
+            for g, a, b, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != current:
+                    close()
+                    current, after, targets = g, {}, {}
+                after.setdefault(a, set()).add(b)
+                if label in ("true", "false"):
+                    targets.setdefault(a, {}).setdefault(label, set()).add(b)
+            if len(rows) > 50_000:
+                yield out()
+        close()
+        yield out()
+
+    ordered = edges.select("graph", "src", "dst", "label").distinct().repartition("graph").sortWithinPartitions("graph")
+    return ordered.mapInArrow(run, "graph string, block string, direction string, member string, in_arm boolean")
+
+
+def precedes(pairs: DataFrame, blocks: DataFrame, dominators: DataFrame) -> DataFrame:
+    """Pairs of places with ``precedes``: source order within one block, dominance between blocks, false if unknown.
+
+    pairs: ``pair``, ``graph``, ``a_line``, ``b_line``; blocks: ``graph``, ``block``, ``line`` (of each statement); dominators:
+    ``graph``, ``block``, ``other``.
+    """
+    at = lambda side: blocks.select("graph", F.col("line").alias(f"{side}_line"), F.col("block").alias(f"{side}_block"))
+    placed = pairs.join(at("a"), ["graph", "a_line"], "left").join(at("b"), ["graph", "b_line"], "left")
+    dom = dominators.select("graph", F.col("block").alias("b_block"), F.col("other").alias("a_block"), F.lit(True).alias("_dom"))
+    placed = placed.join(dom, ["graph", "a_block", "b_block"], "left")
+    same = F.col("a_block") == F.col("b_block")
+    before = F.when(same, F.col("a_line") < F.col("b_line")).otherwise(F.coalesce("_dom", F.lit(False)))
+    return placed.select(*pairs.columns, F.coalesce(before, F.lit(False)).alias("precedes"))

@@ -576,3 +576,40 @@ def scope_members_by_kind(spark: SparkSession, d: str) -> DataFrame:
     hooks = hooks.union(spark.sql("SELECT 'X:0', CAST(NULL AS STRING)"))
     found = scopes.members(owners, view(spark, d, "dag"), hooks, 2)
     return found.groupBy("owner", "scope").agg(F.countDistinct("function").alias("n_functions"))
+
+
+_LABELLED = f"l AS (SELECT DISTINCT graph, src, dst, CASE WHEN ascii(dst) % 2 = 0 THEN 'true' ELSE 'false' END AS label FROM {sql_of('control')} x)"
+
+
+@query(f"""WITH RECURSIVE {_LABELLED},
+o AS (SELECT a.graph, a.src AS block, a.label AS dir, b.dst AS t FROM (SELECT DISTINCT graph, src, label FROM l) a JOIN l b ON b.graph = a.graph AND b.src = a.src AND b.label <> a.label),
+r(graph, block, dir, node) AS (SELECT graph, src, label, dst FROM l
+  UNION SELECT r.graph, r.block, r.dir, l.dst FROM r JOIN l ON l.graph = r.graph AND l.src = r.node LEFT JOIN o ON o.graph = r.graph AND o.block = r.block AND o.dir = r.dir AND o.t = l.dst WHERE o.t IS NULL)
+SELECT r.graph, r.block, r.dir AS direction, r.node AS member, NOT EXISTS (SELECT 1 FROM r x WHERE x.graph = r.graph AND x.block = r.block AND x.dir <> r.dir AND x.node = r.node) AS in_arm FROM r""")
+def branch_arm_minus_opposite(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.ascii("dst") % 2 == 0, "true").otherwise("false")
+    return graph.branch_arms(view(spark, d, "control").withColumn("label", label))
+
+
+_READS = "SELECT event_id, CASE event_type WHEN 'click' THEN 'query' WHEN 'view' THEN 'form' ELSE 'path' END AS container, CASE WHEN user_id % 5 = 0 THEN 'Token' ELSE 'k' || CAST(user_id % 7 AS STRING) END AS key FROM {}"
+
+
+@query(f"""SELECT count(DISTINCT container || ':' || key) AS n_exact, count(DISTINCT CASE WHEN container IN ('query', 'form', 'json', 'cookie', 'header') THEN 'forgeable' ELSE container END || ':' || key) AS n_container,
+count(DISTINCT CASE WHEN lower(key) IN ('authorization', 'token', 'session', 'api_key') THEN 'credential' ELSE CASE WHEN container IN ('query', 'form', 'json', 'cookie', 'header') THEN 'forgeable' ELSE container END || ':' || key END) AS n_credential
+FROM ({_READS.format("events")})""")
+def logical_inputs_3_equivalences(spark: SparkSession, d: str) -> DataFrame:
+    reads = spark.sql(_READS.format("{events}"), events=table(spark, d, "events"))
+    count = lambda e: F.countDistinct(scalars.logical_input(F.col("container"), F.col("key"), e)).alias(f"n_{e}")
+    return reads.agg(count("exact"), count("container"), count("credential"))
+
+
+@query(f"""WITH RECURSIVE {_CFG},
+w(graph, removed, node) AS (SELECT graph, b, 'start' FROM n WHERE b <> 'start' UNION SELECT w.graph, removed, c.dst FROM w JOIN c ON c.graph = w.graph AND c.src = node WHERE c.dst <> removed),
+s AS (SELECT graph, event_type AS block, min(event_id) AS line FROM (SELECT *, user_id || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) AS graph FROM events) GROUP BY ALL)
+SELECT a.graph, a.line AS a_line, b.line AS b_line, CASE WHEN a.block = b.block THEN a.line < b.line ELSE NOT EXISTS (SELECT 1 FROM w WHERE w.graph = a.graph AND w.removed = a.block AND w.node = b.block) END AS precedes
+FROM s a JOIN s b ON a.graph = b.graph""")
+def cfg_precedes(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.col("user_id").cast("string"), F.lit(":"), F.to_date("ts").cast("string"))
+    blocks = table(spark, d, "events").groupBy(name.alias("graph"), F.col("event_type").alias("block")).agg(F.min("event_id").alias("line"))
+    pairs = blocks.select("graph", F.col("line").alias("a_line")).join(blocks.select("graph", F.col("line").alias("b_line")), "graph")
+    return graph.precedes(pairs, blocks, graph.per_graph(view(spark, d, "control"), "dominators"))
