@@ -8,6 +8,7 @@ one group per function.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,7 +26,17 @@ def _shared(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
             got = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = got.get()
-    return f"{at.rstrip('/')}/closure-{uuid.uuid4().hex}"
+    folder = f"{at.rstrip('/')}/closure-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, folder)  # results are lazy: the levels stay as long as the driver
+    return folder
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone when the driver ends
+        pass
 
 
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int, include_root: bool = False) -> DataFrame:
