@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import prepared, tidy
+
 #: Code points of a leaf.
 LEAF = 2048
 #: First width, in code points, of the window's part in a half; it doubles until it holds a stop.
@@ -100,7 +102,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     One narrow pass. Null texts count as empty and have no ids; null and repeated keys are passed on; other
     columns are not read. ``path`` must exist on every executor, as an installed file does.
     """
-    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = prepared(df).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = coder(path, pattern)
@@ -113,4 +115,4 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
                 yield pa.RecordBatch.from_arrays([part.column(0), packed, decoded], names=["_key", "ids", "decoded"])
 
     kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_key {kind}, ids binary, decoded binary").withColumnRenamed("_key", key)
+    return rows.mapInArrow(tidy(run), f"_key {kind}, ids binary, decoded binary").withColumnRenamed("_key", key)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import prepared, tidy
+
 #: n-grams of a profile, and of a document that are compared.
 PROFILE = 300
 #: Distinct n-grams of a language that a task holds before it hands on its sums.
@@ -113,7 +115,7 @@ class Model:
 
 def train(df: DataFrame, lang: str = "lang", text: str = "text", profile: int = PROFILE) -> Model:
     """Counts over all rows with a language; rows with a null text count nothing. An empty table gives no language."""
-    rows = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = prepared(df).where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[np.ndarray]] = {}
@@ -148,7 +150,7 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", profile: int =
         for name in list(sums):
             yield give(name)
 
-    sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile)
     grams: dict[str, list[tuple[int, int]]] = {}
@@ -166,7 +168,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     One narrow pass; the model is a few thousand numbers.
     """
     names = ["_key", "_text", *(f"_c{i}" for i in range(len(carry or ())))]
-    rows = df.select(key, text, *(carry or ())).toDF(*names)
+    rows = prepared(df).select(key, text, *(carry or ())).toDF(*names)
     kinds = dict(rows.dtypes)
     extra = names[1:] if carry is not None else []
 
@@ -193,4 +195,4 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     schema = ", ".join([f"_key {kinds['_key']}", "lang_pred string", "score double", *(f"{n} {kinds[n]}" for n in extra)])
     carried = [] if carry is None else [text, *carry]
-    return rows.mapInArrow(run, schema).toDF(key, "lang_pred", "score", *carried)
+    return rows.mapInArrow(tidy(run), schema).toDF(key, "lang_pred", "score", *carried)

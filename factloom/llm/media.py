@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import prepared, tidy
+
 #: Samples of an image's row.
 WIDTH = 576
 SCHEME = "media:sha256:"
@@ -142,7 +144,7 @@ ITEMS = "array<struct<kind:string,text:string,ref:string,caption:string>>"
 
 def sequences(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """``key`` and ``items``, a row per input row; a null or empty document has no items."""
-    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
+    rows = prepared(df).select(F.col(key).alias("_key"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
     kind = rows.schema["_key"].dataType.simpleString()
     item = pa.struct([(n, pa.string()) for n in ("kind", "text", "ref", "caption")])
 
@@ -151,7 +153,7 @@ def sequences(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
             items = pa.array([parse_html(h) for h in batch.column(1).to_pylist()], pa.list_(item))
             yield pa.RecordBatch.from_arrays([batch.column(0), items], names=["_key", "items"])
 
-    return rows.mapInArrow(run, f"_key {kind}, items {ITEMS}").withColumnRenamed("_key", key)
+    return rows.mapInArrow(tidy(run), f"_key {kind}, items {ITEMS}").withColumnRenamed("_key", key)
 
 
 def store(payloads: DataFrame, payload: str = "payload") -> DataFrame:
@@ -160,7 +162,7 @@ def store(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     Null payloads are left out. Copies are dropped within a task before the shuffle, so a payload that a third
     of all rows share reaches the shuffle once a task.
     """
-    rows = payloads.select(F.col(payload).cast("binary").alias("_payload")).where(F.col("_payload").isNotNull())
+    rows = prepared(payloads).select(F.col(payload).cast("binary").alias("_payload")).where(F.col("_payload").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()
@@ -174,7 +176,7 @@ def store(payloads: DataFrame, payload: str = "payload") -> DataFrame:
                         new.append((digest.hexdigest(), to_png(p)))
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in new], pa.string()), pa.array([i for _, i in new], pa.binary())], names=["digest", "image"])
 
-    return rows.mapInArrow(run, "digest string, image binary").groupBy("digest").agg(F.first("image").alias("image"))
+    return rows.mapInArrow(tidy(run), "digest string, image binary").groupBy("digest").agg(F.first("image").alias("image"))
 
 
 def resolve(sequences: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
@@ -205,7 +207,7 @@ def features(resolved: DataFrame, key: str = "page_id") -> DataFrame:
 
     ``feature`` is width, height, mean sample in thousandths, and number of distinct samples.
     """
-    rows = resolved.where(F.col("image").isNotNull()).select(F.col(key).alias("_key"), "position", "caption", "image")
+    rows = prepared(resolved).where(F.col("image").isNotNull()).select(F.col(key).alias("_key"), "position", "caption", "image")
     kind = rows.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,4 +227,4 @@ def features(resolved: DataFrame, key: str = "page_id") -> DataFrame:
                 columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=names)
 
-    return rows.mapInArrow(run, f"_key {kind}, position int, caption string, {FEATURES}").withColumnRenamed("_key", key)
+    return rows.mapInArrow(tidy(run), f"_key {kind}, position int, caption string, {FEATURES}").withColumnRenamed("_key", key)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 #: Minwise values of a set; of the first ``PATHS`` the whole 64 bits are kept, to select paths.
 COORDINATES, PATHS = 64, 24
@@ -111,7 +111,7 @@ def sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                     names=["id", "n", "digest", "paths", "bytes"],
                 )
 
-    return rows.mapInArrow(run, "id long, n long, digest binary, paths array<bigint>, bytes binary")
+    return rows.mapInArrow(tidy(run), "id long, n long, digest binary, paths array<bigint>, bytes binary")
 
 
 def likely(coordinates: int, percent: int) -> int:
@@ -158,7 +158,7 @@ def _by_group(df: DataFrame, group: str, fn: Callable[[pa.Table], Iterator[tuple
         if pairs:
             yield out()
 
-    return df.repartition(group).sortWithinPartitions(group).mapInArrow(run, "id long, root long")
+    return df.repartition(group).sortWithinPartitions(group).mapInArrow(tidy(run), "id long, root long")
 
 
 def _roots(linked: np.ndarray) -> np.ndarray:

@@ -16,27 +16,31 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import prepared, tidy
+
 #: A task's windows are numbered from partition << SHIFT.
 SHIFT = 33
-#: Chunks between white space, and words, whose ids a worker remembers at once.
-REMEMBER = 600_000
+#: Words whose ids a worker remembers: so many of the newest, and as many older ones.
+REMEMBER = 150_000
 
 
-#: Control characters that ``str.split`` takes for white space and Unicode doesn't.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: What the quick way leaves to the library (white space beyond ASCII's common kinds, a capital whose
+#: lower case is two characters, code points beyond Latin).
+_ODD = r"[\x0b\x1c-\x1f\x{85}\x{a0}\x{130}\x{250}-\x{10ffff}]"
 
 
-class ChunkTokenizer:
+class WordTokenizer:
     """Ids, as little-endian unsigned 32-bit, of texts by a ``tokenizers`` file with end-of-word BPE.
 
-    Its splitting never crosses white space, so a chunk between two white-space characters has the same ids
-    wherever it stands; chunks are remembered, as are the words that the file's own pattern splits them into.
-    A new word goes to the library's model; texts and chunks for which more than lower-casing is done to
-    characters (special tokens, code points beyond Latin) go to the whole library.
+    Its splitting never crosses white space, so a chunk between white space has the same ids wherever it stands.
+    Arrow splits many texts into chunks and numbers the distinct ones; the file's own pattern finds the words in their
+    lower case; words are remembered, and a new one goes to the library's model. Texts for which the library does more (special tokens, code points beyond Latin, rare white space) go to the
+    library whole.
     """
 
     def __init__(self, path: str):
@@ -47,51 +51,71 @@ class ChunkTokenizer:
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._words_of = regex.compile(pattern).findall
+        self._words_of = regex.compile(f"{pattern}| ").findall
         self._model = self._tokenizer.model.tokenize
         # Byte-level letters: printable Latin-1 stands for itself, the other bytes follow from 256 on.
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         letters = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
         self._letters = "".join(letters[b] for b in range(256))
+        self._bytes_of = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
+        # What is asked for again moves on to the newest, the rest is forgotten.
         self._words: dict[str, bytes] = {}
-        self._known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        if "<|" in text and any(s in text for s in self._special) or any(c in text for c in _SEPARATORS):
-            return self._whole(text)
-        chunks = text.split()
-        try:
-            return b"".join(map(self._known.__getitem__, chunks))
-        except KeyError:
-            known = self._known
-            if len(known) > REMEMBER:
-                known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = self._chunk(c)
-            return b"".join(map(known.__getitem__, chunks))
+        self._old_words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii() and max(chunk) >= "ɐ":
-            return self._whole(chunk)
-        words = self._words
+    def _ids_of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The chunks' ids; the words of all of them are found in one search."""
+        words, old, out, parts = self._words, self._old_words, [], []
+        for w in self._words_of(" ".join([*chunks, ""]).lower()):
+            if w == " ":
+                out.append(parts[0] if len(parts) == 1 else b"".join(parts))
+                parts = []
+                continue
+            ids = words.get(w)
+            if ids is None:
+                ids = old.get(w)
+                words[w] = ids = self._word_ids(w) if ids is None else ids
+            parts.append(ids)
         if len(words) > REMEMBER:
-            words.clear()
-        found = self._words_of(chunk.lower())
-        for w in found:
-            if w not in words:
-                spelt = w if w.isascii() else w.encode().decode("latin-1").translate(self._letters)
-                words[w] = np.array([t.id for t in self._model(spelt)], "<u4").tobytes()
-        return words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
+            self._words, self._old_words = {}, words
+        return out
+
+    def _word_ids(self, word: str) -> bytes:
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+        return b"".join([self._bytes_of[t.id] for t in self._model(spelt)])
+
+    def ids_of(self, texts: pa.Array) -> list[bytes]:
+        odd = pc.match_substring_regex(texts, _ODD).to_pylist()
+        marked = pc.match_substring(texts, "<|").to_pylist()
+        whole = [o or (m and any(s in texts[i].as_py() for s in self._special)) for i, (o, m) in enumerate(zip(odd, marked, strict=True))]
+        parted = iter(self._parted(texts.filter(pa.array([not w for w in whole], pa.bool_()))))
+        return [self._whole(texts[i].as_py()) if w else next(parted) for i, w in enumerate(whole)]
+
+    def _parted(self, texts: pa.Array) -> list[bytes]:
+        if not len(texts):
+            return []
+        lists = pc.ascii_split_whitespace(texts)
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
+        ids = self._ids_of_chunks(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        lengths = sizes[at]
+        after = np.cumsum(lengths)
+        shift = starts[at] - (after - lengths)  # 32 bits do for a slice of texts
+        out = flat[np.repeat(shift.astype(np.int32), lengths) + np.arange(int(after[-1]) if len(after) else 0, dtype=np.int32)]
+        cuts = np.concatenate([[0], after])[ends - ends[0]].tolist()
+        return [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> ChunkTokenizer:
+def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer per worker."""
-    return ChunkTokenizer(path)
+    return WordTokenizer(path)
 
 
 class SumOfSquares:
@@ -197,7 +221,7 @@ def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, key: str =
     the same result. Null and repeated keys are passed on; empty tables have no pieces; other columns are not read.
     Per task, memory holds the ids of the open windows' documents: with size 2048 a few MB.
     """
-    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = prepared(df).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +235,10 @@ def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, key: str =
             n = 0
             for batch in batches:
                 key_type[:] = [batch.schema.field(0).type]
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        ids = made.ids(t) + end
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    for k, ids in zip(part.column(0).to_pylist(), made.ids_of(part.column(1)), strict=True):
+                        ids += end
                         total = len(ids) // 4
                         held[n] = [k, total, ids, 0, total]
                         n += 1
@@ -247,4 +271,4 @@ def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, key: str =
         if out[0]:
             yield rows_out()
 
-    return rows.mapInArrow(run, f"_key {kind}, {SCHEMA}").withColumnRenamed("_key", key)
+    return rows.mapInArrow(tidy(run), f"_key {kind}, {SCHEMA}").withColumnRenamed("_key", key)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import prepared, tidy
+
 #: What the base kinds mean.
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -155,7 +157,7 @@ def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tupl
     read.
     """
     names = ["_key", "_text", *(f"_c{i}" for i in range(len(carry)))]
-    rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")), *carry).toDF(*names)
+    rows = prepared(df).select(F.col(key), F.coalesce(F.col(text), F.lit("")), *carry).toDF(*names)
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,4 +170,4 @@ def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tupl
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([f"_key {kinds['_key']}", SCHEMA, *(f"{n} {kinds[n]}" for n in names[2:])])
-    return rows.mapInArrow(scan, schema).toDF(key, "spans", "redacted", *carry)
+    return rows.mapInArrow(tidy(scan), schema).toDF(key, "spans", "redacted", *carry)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are hashed at once; anchors and contexts that a task compares at once.
@@ -125,7 +125,7 @@ def _anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield from out()
 
-    return rows.mapInArrow(run, "anchor long, id long, kind byte")
+    return rows.mapInArrow(tidy(run), "anchor long, id long, kind byte")
 
 
 def _cut(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -178,7 +178,7 @@ def _cut(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     size = 0
         yield from out()
 
-    return rows.mapInArrow(run, "anchor long, id long, start long, end long, context binary")
+    return rows.mapInArrow(tidy(run), "anchor long, id long, start long, end long, context binary")
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -315,7 +315,7 @@ def _compared(rows: DataFrame, length: int, block: int) -> DataFrame:
         yield out()
 
     ordered = rows.select("anchor", "id", "start", "context").repartition("anchor").sortWithinPartitions("anchor")
-    return ordered.mapInArrow(run, "id long, start long, end long")
+    return ordered.mapInArrow(tidy(run), "id long, start long, end long")
 
 
 def _one_by_one(rows: DataFrame, length: int) -> DataFrame:
@@ -388,4 +388,4 @@ def _without(rows: DataFrame) -> DataFrame:
             columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
 
-    return rows.mapInArrow(run, "id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_sha256 string")
+    return rows.mapInArrow(tidy(run), "id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_sha256 string")

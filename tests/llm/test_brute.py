@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -82,12 +83,13 @@ def test_word_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    made, whole = packing.ChunkTokenizer(path), Tokenizer.from_file(path)
+    made, whole = packing.WordTokenizer(path), Tokenizer.from_file(path)
     chance = random.Random(3)
     parts = ["É", "ß", "İ", "ı", "_", "²", "a", " ", "\n", "'s", "é", "1", "!", "\x0b", " ", "ll", "\U0001f600", "\x1c", "\x85", "é", "Σ", "<|endoftext|>"]
-    for _ in range(3000):
-        text = "".join(chance.choice(parts) for _ in range(chance.randint(0, 30)))
-        assert np.frombuffer(made.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = ["".join(chance.choice(parts[k % 20 :]) for _ in range(chance.randint(0, 30))) for k in range(6000)]
+    texts += ["".join(chance.choice(["É", "ß", "ı", "a", "I'LL", " ", "\n", "\t\r", "1", "!", "µ", "ª"]) for _ in range(30)) for _ in range(2000)]
+    for text, ids in zip(texts, made.ids_of(pa.array(texts)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_packing_places_each_token_once():
