@@ -3,22 +3,22 @@
 Documents are sets of word shingles; two are linked when their Jaccard similarity reaches the threshold, and a
 document's class is its connected component. The steps:
 
-1. One narrow pass turns each text into its set's digest, ``COORDINATES`` minwise values and one byte of each.
-   Equal sets become one class with its smallest id.
-2. Independent trees: a tree's root deals the classes to nodes by one minwise token; a node above ``NODE``
-   members is branched again by up to ``BRANCHES`` minwise tokens that its own path selects, 1.5 on average. Small nodes are compared
-   exhaustively on the bytes (a loose bar, ``likely``), and give candidate clusters.
-   With similarity s, a pair misses all roots with probability (1 - s) ** trees (2.6e-7 at 0.85 and 8 trees); in a
-   tree that branches at any depth 76 of 100 pairs of 0.85 stay together, so that 8 trees miss 1 in 100,000; the
-   loose bar misses fewer than 1 in 100,000 pairs at the threshold. Pairs below 2/3 get fewer at each level.
+1. One narrow pass turns each text into its set's digest, one byte of each of ``COORDINATES`` minwise values and the
+   whole of the first ones, which the roots use. Equal sets become one class with its smallest id.
+2. Trees: a tree's root deals the classes to nodes by one minwise value; a node above ``NODE`` members is branched
+   again by the bytes of ``BRANCHES`` coordinates that its own path selects. Small nodes are compared exhaustively
+   on the bytes (a loose bar, ``likely``), and give candidate clusters. ``missed`` is the share of pairs that no
+   tree keeps together, with the roots, and with all trees drawing from the same coordinates: 2.8e-7 at 0.85
+   and 7.1e-6 at 0.80 below six levels of branches. The loose bar misses fewer than 1 in 100,000 at the threshold.
 3. Each class belongs to one cluster. A cluster whose sets fit (``CLUSTER`` members, ``ELEMENTS`` shingles) is one
    group; a larger one is branched by the same trees until its nodes fit. In each group full sets are intersected
    exhaustively, so links are exact and none between different texts of a group is lost.
 4. Groups hand on a star per component found in them; stars that share documents are joined up.
 
-Branched nodes compare with pivots first; a node whose members are all known to be connected has nothing to add
-and is dropped, which is what keeps groups of many near copies from growing at each level. At the last level
-nodes that still don't fit are compared in blocks, each pair of blocks a group of its own.
+Branched nodes compare with pivots first, and what is connected so far gets one label. A node of one label has
+nothing to add and is dropped; of one with few members beside its most frequent label, those meet all of its
+blocks (``_beside``). This, which loses no pair, keeps groups of many near copies from growing at each level. At the
+last level nodes that still don't fit are compared in blocks, each pair of blocks a group of its own.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, tidy
 
-#: Minwise values of a set; of the first ``PATHS`` the whole 64 bits are kept, to select paths.
-COORDINATES, PATHS = 64, 24
-#: Roots, branches of a node, and levels below the roots.
-TREES, BRANCHES, LEVELS = 8, 2, 6
+#: Minwise values of a set; branches select by their bytes.
+COORDINATES = 64
+#: Roots (of as many values the whole 64 bits are kept), branches of a node, and levels below the roots.
+TREES, BRANCHES, LEVELS = 12, 2, 6
 #: Members of a node that is compared exhaustively; members and shingles of a group whose full sets are.
 NODE, CLUSTER, ELEMENTS = 4096, 4096, 1_000_000
 #: Members of a node too large for a group that meet all its blocks.
@@ -89,7 +89,7 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return _mixed(out)
 
 
-def sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
+def sketches(df: DataFrame, key: str, text: str, words: int, trees: int = TREES) -> DataFrame:
     """``id``, ``n``, ``digest`` (of the full set; null if empty), ``paths array<bigint>``, ``bytes``."""
     rows = df.select(F.coalesce(F.col(key), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -104,7 +104,7 @@ def sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 for s in sets:
                     v = next(values) if len(s) else np.zeros(0, _U)
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    paths.append(v[:PATHS].view(np.int64))
+                    paths.append(v[:trees].view(np.int64))
                     small.append((v & _U(255)).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(paths, pa.list_(pa.int64())), pa.array(small, pa.binary())],
@@ -126,6 +126,22 @@ def likely(coordinates: int, percent: int) -> int:
     return coordinates
 
 
+def missed(similarity: float, trees: int = TREES, branches: int = BRANCHES, levels: int = LEVELS) -> float:
+    """Share of pairs that no tree keeps together where all nodes branch ``levels`` times below the roots.
+
+    The pair agrees in k of the ``COORDINATES`` that all trees draw from; given k, trees are taken as independent.
+    """
+    from math import comb
+
+    total = 0.0
+    for k in range(COORDINATES + 1):
+        s, apart = k / COORDINATES, 0.0
+        for _ in range(levels):
+            apart = (1 - s + s * apart) ** branches
+        total += comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) * (1 - s + s * apart) ** trees
+    return total
+
+
 def _by_group(df: DataFrame, group: str, fn: Callable[[pa.Table], Iterator[tuple[int, int]]], extra: str = "") -> DataFrame:
     """``fn`` on the rows of each group (adjacent after a sort by it), giving (id, root) pairs."""
 
@@ -212,38 +228,77 @@ def _tree_nodes(classes: DataFrame, trees: int, within: str | None = None) -> Da
 
 
 def _children(rows: DataFrame, branches: int) -> DataFrame:
-    """Each member of a node in the children that the node's path selects: all branches in half the nodes, else one."""
-    coordinate = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(PATHS)).cast("int")
-    child = lambda i: F.xxhash64("node", F.lit(i), F.get("paths", coordinate(i)))
-    wide = F.pmod(F.xxhash64("node", F.lit("wide")), F.lit(2)) == 0
-    chosen = F.when(wide, F.array(*(child(i) for i in range(branches)))).otherwise(F.array(child(0)))
-    return rows.withColumn("node", F.explode(chosen))
+    """Each member of a node in the children that the node's path selects, by the bytes of their coordinates."""
+    coordinate = lambda i: ((F.pmod(F.xxhash64("node"), F.lit(COORDINATES)) + F.lit(i * COORDINATES // branches)) % COORDINATES + 1).cast("int")
+    child = lambda i: F.xxhash64("node", F.lit(i), F.substring("bytes", coordinate(i), F.lit(1)))
+    return rows.withColumn("node", F.explode(F.array(*(child(i) for i in range(branches)))))
+
+
+def _labelled(rows: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with ``label``: what the edges found so far connect has the same one."""
+    labels = scratch.save(components(found, scratch).withColumnRenamed("root", "label"))
+    return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
 
+def _sized(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of nodes with several labels, with the node's ``members`` and ``elements``, its most frequent
+    label ``_most``, and the members and elements beside it (``_others``, ``_weight``)."""
+    by_label = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_e"))
+    most = F.max(F.struct("_c", "_e", "label")).alias("_m")
+    sizes = by_label.groupBy("node").agg(F.sum("_c").alias("members"), F.sum("_e").alias("elements"), most).where("members > _m._c")
+    sizes = sizes.select("node", "members", "elements", F.col("_m.label").alias("_most"), (F.col("members") - F.col("_m._c")).alias("_others"), (F.col("elements") - F.col("_m._e")).alias("_weight"))
+    return scratch.save(rows.join(sizes, "node"))
 
-def _branched(rows: DataFrame, fits: Column, bar: int, branches: int, levels: int, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Leaves (``node``, ``id`` and the rest) whose ``members`` and ``elements`` fit, and edges to pivots found on the way.
 
-    rows: ``node``, ``id``, ``n``, ``paths``, ``bytes``, ``label`` (members with one label are known to be connected).
+def _few(cluster: int, elements: int) -> Column:
+    """Whether those beside a node's most frequent label are so few that they can meet all of its blocks."""
+    return (4 * F.col("_others") <= cluster) & (4 * F.col("_weight") <= elements)
+
+
+def _beside(large: DataFrame, cluster: int, elements: int) -> DataFrame:
+    """Nodes with few members beside their most frequent label: its members are dealt to blocks, the others go to
+    all. Pairs of that label are connected already, so every pair that can add something meets."""
+    blocks = F.ceil(2 * F.greatest(F.col("members") / cluster, F.col("elements") / elements))
+    own = F.array(F.pmod(F.xxhash64("id"), blocks))
+    to = F.when(F.col("label") == F.col("_most"), own).otherwise(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    return large.withColumn("_to", F.explode(to)).withColumn("node", F.xxhash64("node", F.lit("beside"), "_to")).drop("_to")
+
+
+def _branched(
+    rows: DataFrame, fits: Column, bar: int, branches: int, levels: int, scratch: Scratch, cluster: int = NODE, elements: int = 2**62
+) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Leaves (``node``, ``id`` and the rest) that can be compared as they are, and edges to pivots found on the way.
+
+    rows: ``node``, ``id``, ``n``, ``bytes``.
     """
     leaves, edges = [], []
+    sized = _sized(rows.withColumn("label", F.col("id")), scratch)
+    columns = ["node", "id", "n", "bytes"]
     for level in range(levels + 1):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-        sized = rows.join(sizes.where("_lo < _hi").drop("_lo", "_hi"), "node")
-        sized = scratch.save(sized)
-        leaves.append(sized.where(fits))
-        large = sized.where(~fits).drop("members", "elements")
+        leaves.append(sized.where(fits).select(*columns))
+        large = sized.where(~fits).select(*columns)
         if large.isEmpty():
             break
+        order = Window.partitionBy("node").orderBy(F.xxhash64("id", "node"))
+        first = large.select("node", "id", "bytes", F.row_number().over(order).alias("_r")).where(F.col("_r") <= PIVOTS)
+        pivots = first.groupBy("node").agg(F.collect_list(F.struct("id", "bytes")).alias("_pivots"))
+        same = lambda x: F.size(F.filter(F.sequence(F.lit(1), F.lit(COORDINATES)), lambda i: F.substring("bytes", i, F.lit(1)) == F.substring(x, i, F.lit(1))))
+        near = F.filter("_pivots", lambda p: (p["id"] != F.col("id")) & (same(p["bytes"]) >= bar))
+        told = large.join(pivots, "node").select("id", F.explode(near).alias("_pivot"))
+        edges.append(scratch.save(told.select("id", F.col("_pivot.id").alias("root")).distinct()))
+        found = edges[0]
+        for e in edges[1:]:
+            found = found.union(e)
+        large = _sized(_labelled(large, found, scratch), scratch)
+        few = _few(cluster, elements)
+        leaves.append(_beside(large.where(few), cluster, elements).select(*columns))
+        rest = large.where(~few).select(*columns, "label")
+        if rest.isEmpty():
+            break
         if level == levels:
-            leaves.append(_blocks(large))
+            leaves.append(_blocks(rest, cluster, elements).select(*columns))
             break
-        pivots = large.groupBy("node").agg(F.min(F.struct("id", "bytes", "label")).alias("_pivot"))
-        told = large.join(pivots, "node")
-        equal = F.size(F.filter(F.sequence(F.lit(1), F.lit(COORDINATES)), lambda i: F.substring("bytes", i, F.lit(1)) == F.substring(F.col("_pivot.bytes"), i, F.lit(1))))
-        told = scratch.save(told.withColumn("_near", equal >= bar))
-        edges.append(told.where(F.col("_near") & (F.col("id") != F.col("_pivot.id"))).select("id", F.col("_pivot.id").alias("root")))
-        told = told.withColumn("label", F.when(F.col("_near"), F.col("_pivot.label")).otherwise(F.col("label")))
-        rows = scratch.save(_children(told.drop("_pivot", "_near"), branches))
+        sized = _sized(_children(rest, branches), scratch)
     return leaves, edges
 
 
@@ -274,17 +329,15 @@ def _large_clusters(
         everywhere = pivots.join(counts, "node").select("node", "id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_b"))
         found = confirmed(own.union(everywhere.select(F.xxhash64("node", "_b").alias("node"), "id")))
         links = scratch.save(found if links is None else links.union(found))
-        labels = scratch.save(components(links, scratch).withColumnRenamed("root", "label"))
-        base = rows.select("node", "id", "n", "paths").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        if level == 0:
-            mixed = base.groupBy("node").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("node")
-            below = _tree_nodes(base.join(mixed, "node"), trees, "node")
-        else:
-            below = _children(base, branches)
-        sizes = below.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-        below = scratch.save(below.join(sizes.where("_lo < _hi").drop("_lo", "_hi"), "node"))
+        large = _sized(_labelled(rows.select("node", "id", "n", "paths", "bytes"), links, scratch), scratch)
+        few = _few(cluster, elements)
+        links = scratch.save(links.union(confirmed(_beside(large.where(few), cluster, elements))))
+        rest = large.where(~few).select("node", "id", "n", "paths", "bytes", "label")
+        if rest.isEmpty():
+            return links
+        below = _sized(_tree_nodes(rest, trees, "node") if level == 0 else _children(rest, branches), scratch)
         links = scratch.save(links.union(confirmed(below.where(fits))))
-        rows = below.where(~fits).drop("members", "elements", "label")
+        rows = below.where(~fits)
         if rows.isEmpty():
             return links
     return links.union(confirmed(_blocks(rows, cluster, elements)))
@@ -383,14 +436,14 @@ def near_dedup(
     """
     scratch = Scratch(df.sparkSession, "near-dedup")
     bar = likely(COORDINATES, percent)
-    sets = scratch.save(sketches(df, key, text, words))
+    sets = scratch.save(sketches(df, key, text, words, trees))
     whole = sets.where("n > 0").groupBy("digest")
     classes = scratch.save(whole.agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "paths", "bytes"))))
 
     roots = _tree_nodes(classes.select("id", "paths"), trees).select("id", "node")
     several = roots.groupBy("node").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("node")
-    rows = roots.join(several, "node").join(classes.drop("digest"), "id").withColumn("label", F.col("id"))
-    leaves, edges = _branched(scratch.save(rows), F.col("members") <= node, bar, branches, levels, scratch)
+    rows = roots.join(several, "node").join(classes.drop("digest", "paths"), "id")
+    leaves, edges = _branched(scratch.save(rows), F.col("members") <= node, bar, branches, levels, scratch, node)
     for leaf in leaves:
         edges.append(_by_group(leaf.select("node", "id", "n", "bytes"), "node", _candidates(bar, percent)))
     found = edges[0]

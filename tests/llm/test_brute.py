@@ -172,6 +172,44 @@ def test_near_components(spark, family, limits):
     assert got == brute_components(family, 85)
 
 
+@pytest.fixture(scope="module")
+def crowd():
+    """Pairs at 0.81 (linked at 0.80) or 0.73 (not), all with one passage, so that roots hold thousands of sets."""
+    chance = random.Random(8)
+    passage = [f"p{i}" for i in range(52)]
+    out, linked = {}, {}
+    for i in range(0, 10_000, 2):
+        own = [f"v{chance.randrange(10**7)}" for _ in range(48)]
+        other = list(own)
+        for at in (8, 20, 32)[: 3 if i % 20 == 0 else 2]:
+            other[at] = f"v{chance.randrange(10**7)}"
+        out[i], out[i + 1] = " ".join(passage + own), " ".join(passage + other)
+        a, b = shingles(out[i]), shingles(out[i + 1])
+        linked[i], linked[i + 1] = i, i if 100 * len(a & b) >= 80 * len(a | b) else i + 1
+    return out, linked
+
+
+@pytest.mark.parametrize("node", [near_dedup.NODE, 64])
+def test_near_recall_in_large_nodes(spark, crowd, node):
+    texts, linked = crowd
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = near_dedup.sketches(docs, "doc_id", "text", 5).collect()
+    largest = max(max(np.unique([s["paths"][c] for s in sets], return_counts=True)[1]) for c in range(near_dedup.TREES))
+    assert largest > near_dedup.NODE
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs, percent=80, node=node).collect()}
+    assert got == linked  # texts of different pairs share the passage only, a third of their union
+
+
+def test_every_node_branches_twice(spark):
+    rows = spark.range(64).selectExpr("id", "id AS node", "encode(repeat('x', 64), 'utf-8') AS bytes", "array_repeat(7L, 64) AS paths")
+    children = near_dedup._children(rows, 2).groupBy("id").agg({"node": "approx_count_distinct"}).collect()
+    assert len(children) == 64 and all(r[1] == 2 for r in children)
+
+
+def test_share_of_missed_pairs():
+    assert near_dedup.missed(0.85) < near_dedup.missed(0.80) < 1e-5
+
+
 def test_near_query(spark, texts):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op3_chosen_path_near_dedup(spark, DATA).collect()}
     assert got == brute_components(texts, 85)
