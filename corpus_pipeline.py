@@ -19,12 +19,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BROADCAST_ROWS = 300_000
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose ``doc_id`` is not among those dropped; the list's size decides how it is sent."""
-    dropped = Scratch(docs.sparkSession, "dropped").save(dropped.select("doc_id"))
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with a number of their own, saved with them: ids may be null or repeat."""
+    return scratch.save(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_number")))
+
+
+def _without(rows: DataFrame, dropped: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows whose number is not among those dropped; the list's size decides how it is sent."""
+    dropped = scratch.save(dropped.select("_number"))
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti").select(*COLUMNS)
+    return rows.join(dropped, "_number", "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +47,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the longest original of each group of texts equal without white space, then the smallest id."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("NOT kept"))
+    scratch = Scratch(spark, "exact-copies")
+    rows = _numbered(docs, scratch)
+    return _without(rows, exact_dedup.exact_dedup(rows, carry=("_number",)).where("NOT kept"), scratch)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each component of five-word shingle sets linked at a similarity of 0.8."""
-    return _without(docs, near_dedup.near_dedup(docs, words=5, percent=80).where("NOT kept"))
+    """Keeps the smallest id of each component of five-word shingle sets linked at a similarity of 0.8.
+
+    Each row is a document, whatever its id; a null id comes last.
+    """
+    scratch = Scratch(spark, "near-copies")
+    rows = _numbered(docs, scratch)
+    linked = near_dedup.near_dedup(rows, key="_number", words=5, percent=80).where("NOT kept").select("_number", "component_id")
+    linked = scratch.save(linked)
+    members = linked.union(linked.select(F.col("component_id").alias("_number"), "component_id").distinct())
+    members = scratch.save(members.join(rows.select("_number", "doc_id"), "_number"))
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_number"))["_number"].alias("_best"))
+    return _without(rows, members.join(best, "component_id").where("_number != _best"), scratch)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,8 +32,8 @@ def chunks(norm: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Colum
     return F.regexp_extract_all(norm, F.lit(rf"(?s).{{{least - 1},{most - 2}}}?{BOUNDARY}|.{{1,{most}}}"), F.lit(0))
 
 
-def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hash_bits: int = 64) -> DataFrame:
-    """One row per input row: ``key``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hash_bits: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: ``key``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, then the columns of ``carry``.
 
     Texts are equal when equal without white space (null: empty). The row with most code points in its
     original text stays, then the smallest key (null keys last). Of rows that
@@ -46,7 +46,7 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hash_bit
         return F.shiftrightunsigned(F.xxhash64(chunk), short) if short else F.xxhash64(chunk)
 
     scratch = Scratch(df.sparkSession, "exact-dedup")
-    base = df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).withColumn("_norm", normalised(F.col("_text")))
+    base = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"), *(F.col(c).alias(f"_carry_{c}") for c in carry)).withColumn("_norm", normalised(F.col("_text")))
     base = base.withColumn("_row", F.monotonically_increasing_id())  # fixed for fixed input splits, and saved with the recipes
     cut = chunks(F.col("_norm"))
     # Verification: of each name the distinct chunks (combined before the shuffle); more than one is a collision.
@@ -59,6 +59,7 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hash_bit
             F.char_length(F.coalesce("_text", F.lit(""))).cast("long").alias("_points"),
             F.sha2("_norm", 256).alias("text_sha256"),
             F.transform(cut, name).alias("_recipe"),
+            *(f"_carry_{c}" for c in carry),
         )
     )
     collisions = not collided.isEmpty()
@@ -75,6 +76,7 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hash_bit
         "group_size",
         (F.col("_row") == F.col("_best._row")).alias("kept"),
         "text_sha256",
+        *(F.col(f"_carry_{c}").alias(c) for c in carry),
     )
 
 

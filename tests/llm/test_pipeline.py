@@ -57,6 +57,18 @@ def test_near_copies(stages):
     assert after.keys() == {i for i, (_, root) in brute_components(texts, 80).items() if i == root} | {None}
 
 
+def test_stages_drop_only_rejected_rows(spark, stages):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    given = [(1, one), (1, one), (None, two), (None, two), (None, three), (2, one), (2, "another text of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in given], stages[0].schema)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.exact_copies(spark, docs, DATA).collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (None, two), (None, three), (2, "another text of its own")], key=str)
+    given = [(None, one + " end"), (7, one), (7, two), (None, three), (None, three + " end"), (None, "a text of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in given], stages[0].schema)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, DATA).collect()]
+    assert len(got) == 4 and {(7, one), (7, two), (None, "a text of its own")} < set(got)
+
+
 def test_personal_data(stages):
     before, after = rows(stages[3]), rows(stages[4])
     assert before.keys() == after.keys()
