@@ -17,12 +17,14 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; set to a temporary one only where unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``; unset, a temporary one in local mode, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -95,6 +97,33 @@ class Scratch:
             pass
 
 
+#: A key is hot beyond ``HOT`` rows and beyond an equal share of all rows among ``HOT_KEYS`` keys.
+HOT, HOT_KEYS = 1_000, 16_384
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner", count: str = "_copies", hot: int = HOT) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row a key and, as ``count``, the number of rows with it.
+
+    Rows of hot keys stay where they are and meet a broadcast of those keys: fewer than ``HOT_KEYS`` of them by
+    arithmetic, whatever ``total`` (the number of rows) is. The others meet by a shuffle, where no key has more than the
+    bar. Null keys must not be asked for. Both frames are read twice where a key is hot: give saved ones.
+    """
+    bar = max(hot, total // HOT_KEYS)
+    hot_ones = table.where(F.col(count) > bar)
+    table, picked = table.drop(count), hot_ones.drop(count)
+    if total <= bar or hot_ones.isEmpty():
+        return rows.join(table, key, how)
+    names = F.broadcast(picked.select(key))
+    rest = rows.join(names, key, "left_anti").join(table.join(names, key, "left_anti"), key, how)
+    return rows.join(F.broadcast(picked), key).unionByName(rest)
+
+
+def no_clash(made: tuple[str, ...], carried: tuple[str, ...]) -> None:
+    """Raises where a carried column has a name that the result gives to another one."""
+    if twice := sorted(n for n in set(carried) if n in made or carried.count(n) > 1):
+        raise ValueError(f"the result has other columns of these names: {', '.join(twice)}")
+
+
 def text_or_empty(name: str = "text") -> Column:
     """A null text counts as empty in every contract but the language one."""
     return F.coalesce(F.col(name), F.lit(""))
