@@ -9,6 +9,8 @@ code points; a segment with ``loss`` is the (escaped) text of one assistant turn
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,12 +73,41 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
+#: Segments whose lengths are added up one by one; the sums of so many are added up in turn.
+RUN = 256
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the value, which is evaluated once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def text_under_mask(formatted: Column, segments: Column) -> Column:
-    """The unescaped texts that count for the loss, one after another."""
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+    """The unescaped texts that count for the loss, one after another.
+
+    Four bytes a code point make any place of the string known without a walk from its start, and segments' starts
+    are sums of runs' sums, so time grows with the text, and with the number of segments times ``RUN``. A string of more
+    than 2**29 code points is too long.
+    """
+    total = lambda of, length: F.aggregate(of, F.lit(0), lambda n, x: n + length(x))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(segments) / RUN), F.lit(1)).cast("int") - 1), lambda r: F.slice(segments, r * RUN + 1, F.lit(RUN)))
+    mark = F.unhex(F.lit("0000FEFF"))  # read as the byte order, so that a text may begin with this code point itself
+
+    def piece(units: Column, at: Column, n: Column) -> Column:
+        return unescape(F.decode(F.concat(mark, F.substring(units, 4 * at + 1, 4 * n)), "UTF-32"))
+
+    def texts(units: Column, run: Column, start: Column) -> Column:
+        def text(s: Column, i: Column) -> Column:
+            own = start + total(F.slice(run, F.lit(1), i), lambda x: x["length"])
+            return F.when(s["loss"], piece(units, own, s["length"])).otherwise(F.lit(""))
+
+        return F.array_join(F.transform(run, text), "")
+
+    def all_texts(units: Column, runs: Column, sums: Column) -> Column:
+        of_run = lambda run, r: _bound(total(F.slice(sums, F.lit(1), r), lambda n: n), lambda start: texts(units, run, start))
+        return F.array_join(F.transform(runs, of_run), "")
 
-    def step(acc: Column, s: Column) -> Column:
-        more = F.when(s["loss"], unescape(F.substring(formatted, acc["at"], s["length"]))).otherwise(F.lit(""))
-        return F.struct((acc["at"] + s["length"]).alias("at"), F.concat(acc["out"], more).alias("out"))
+    def of_runs(units: Column, runs: Column) -> Column:
+        return _bound(F.transform(runs, lambda run: total(run, lambda x: x["length"])), lambda sums: all_texts(units, runs, sums))
 
-    return F.aggregate(segments, start, step, lambda acc: acc["out"])
+    return _bound(F.encode(formatted, "UTF-32"), lambda units: _bound(runs, lambda rs: of_runs(units, rs)))
