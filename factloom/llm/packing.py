@@ -4,7 +4,8 @@ Each task packs its own rows, in their order, without a shuffle. A document long
 windows first; the rest is an item that goes to the fill level which minimises the sum over levels of the
 squared number of partially filled windows. Levels are a count array; placing an item is one vector operation
 over it. When a task's rows end, the windows still open are packed anew by cutting: the emptiest windows'
-pieces fill up the fullest windows, so a task leaves one partially filled window at most.
+pieces fill up the fullest windows, so a task leaves one partially filled window at most. The same is done when more
+than ``OPEN`` windows are open, until half of them are left, so memory is bounded whatever the documents are.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import prepared, tidy
 
 #: A task's windows are numbered from partition << SHIFT.
 SHIFT = 33
+#: Open windows that a task holds at most.
+OPEN = 4096
 #: Words whose ids a worker remembers: so many of the newest, and as many older ones.
 REMEMBER = 150_000
 
@@ -147,20 +150,61 @@ class SumOfSquares:
             self.open_at[level] += 1
             self.windows[level].append(window)
 
-    def left(self) -> list[tuple[int, int]]:
-        """(level, window) of all open windows, fullest first."""
-        return [(level, w) for level in range(self.size - 1, 0, -1) for w in self.windows[level]]
+    def taken(self) -> list[int]:
+        """All open windows, fullest first; none is open then."""
+        out = [w for level in range(self.size - 1, 0, -1) for w in self.windows[level]]
+        self.open_at[:] = 0
+        self.windows = [[] for _ in range(self.size + 1)]
+        return out
 
 
 Piece = tuple[int, int, int]  # document (position in the task), start, length
 
 
-def pack_lengths(lengths: Iterator[int], size: int) -> Iterator[tuple[int, list[Piece]]]:
+def pack_lengths(lengths: Iterator[int], size: int, most: int = OPEN) -> Iterator[tuple[int, list[Piece]]]:
     """(window, its pieces in order) for documents of these lengths, each a positive number; windows count from 0.
 
-    A window is given out when it is full, the open ones after the last document.
+    A window is given out when it is full, those left open after the last document. At most ``most`` are open.
     """
     packer, contents, made = SumOfSquares(size), {}, 0
+
+    def cut(keep: int) -> Iterator[tuple[int, list[Piece]]]:
+        """Pieces of the emptiest windows fill the fullest, cut where they have to be, until ``keep`` are open."""
+        nonlocal made
+        order, spare = packer.taken(), []
+        lo, hi = 0, len(order) - 1
+        while lo <= hi and hi - lo + 1 > keep:
+            window = order[lo]
+            pieces = contents.pop(window)
+            room = size - sum(p[2] for p in pieces)
+            while room:
+                if not spare:
+                    if hi <= lo:
+                        break
+                    spare = contents.pop(order[hi])
+                    hi -= 1
+                doc, start, n = spare.pop()
+                take = min(n, room)
+                pieces.append((doc, start, take))
+                if take < n:
+                    spare.append((doc, start + take, n - take))
+                room -= take
+            lo += 1
+            if room and keep:
+                contents[window] = pieces
+                packer.opened(window, size - room)
+            else:
+                yield window, pieces
+        if spare:  # what is left of the last window that was taken apart
+            window, made = made, made + 1
+            if keep:
+                contents[window] = spare
+                packer.opened(window, sum(p[2] for p in spare))
+            else:
+                yield window, spare[::-1]
+        for window in order[lo : hi + 1]:
+            packer.opened(window, sum(p[2] for p in contents[window]))
+
     for doc, total in enumerate(lengths):
         at = 0
         while total - at >= size:
@@ -174,39 +218,9 @@ def pack_lengths(lengths: Iterator[int], size: int) -> Iterator[tuple[int, list[
             if level + rest == size:
                 yield window, contents.pop(window)
             packer.opened(window, level + rest)
-    # The open windows: pieces of the emptiest fill the fullest, cut where they have to be.
-    rest_of = [w for _, w in packer.left()]
-    spare: list[Piece] = []
-    lo, hi = 0, len(rest_of) - 1
-    while lo <= hi:
-        window = rest_of[lo]
-        pieces = contents[window]
-        room = size - sum(p[2] for p in pieces)
-        while room:
-            if not spare:
-                if hi <= lo:
-                    break
-                spare = contents[rest_of[hi]]
-                hi -= 1
-            doc, start, n = spare.pop()
-            take = min(n, room)
-            pieces.append((doc, start, take))
-            if take < n:
-                spare.append((doc, start + take, n - take))
-            room -= take
-        yield window, pieces
-        lo += 1
-    while spare:  # what is left of the last window that was taken apart
-        pieces, room = [], size
-        while spare and room:
-            doc, start, n = spare.pop()
-            take = min(n, room)
-            pieces.append((doc, start, take))
-            if take < n:
-                spare.append((doc, start + take, n - take))
-            room -= take
-        yield made, pieces
-        made += 1
+            if len(contents) > most:
+                yield from cut(most // 2)
+    yield from cut(0)
 
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -219,7 +233,8 @@ def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, key: str =
     are padded to ``size``. Sequence ids are unique, not gapless: the partition number shifted by 33 bits, plus
     the window's number in it. Rows are packed in the order of their input split, so a lost task is repeated with
     the same result. Null and repeated keys are passed on; empty tables have no pieces; other columns are not read.
-    Per task, memory holds the ids of the open windows' documents: with size 2048 a few MB.
+    Per task, memory holds the ids of the open windows' pieces: with size 2048 at most 32 MB (``OPEN``). The rest of a
+    document that waits there is shorter than a window.
     """
     rows = prepared(df).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
