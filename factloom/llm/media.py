@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepared, tidy
+from .common import HOT, Scratch, prepared, spread_join, tidy
 
 #: Samples of an image's row.
 WIDTH = 576
@@ -179,16 +179,29 @@ def store(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return rows.mapInArrow(tidy(run), "digest string, image binary").groupBy("digest").agg(F.first("image").alias("image"))
 
 
-def resolve(sequences: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per item: ``key``, ``position`` (from 0), ``kind``, ``text``, ``ref``, ``caption``, ``image``.
+def references(sequences: DataFrame, key: str = "page_id") -> DataFrame:
+    """One row per item: ``key``, ``position`` (from 0), ``kind``, ``text``, ``ref``, ``caption``, and the reference's ``digest``
+    (null for text and for references to something else). Null and repeated keys are passed on."""
+    items = sequences.select(F.col(key), F.posexplode("items").alias("position", "_item")).select(F.col(key), "position", "_item.*")
+    return items.withColumn("digest", F.when(F.col("ref").startswith(SCHEME), F.substring("ref", len(SCHEME) + 1, 64)))
+
+
+def resolve(sequences: DataFrame, media: DataFrame, key: str = "page_id", hot: int = HOT) -> DataFrame:
+    """The items of ``references`` with the media table's columns for their digest, but without the digest itself.
 
-    ``image`` is null for text and for references that the media table lacks; no item is lost. The join is on
-    the digest; a digest that many documents refer to is one media row, and adaptive execution splits its
-    references.
+    Those columns are null for text and for references that the media table lacks; no item is lost, and rows of null
+    or repeated keys are items like any other. The join is on the digest; a digest that very many items refer to
+    (``spread_join``) is broadcast to them, so that no task gets them all. With images that is at most ``HOT_KEYS`` of
+    them: join the narrow ``features_of`` of each digest instead where images are large.
     """
-    items = sequences.select(F.col(key), F.posexplode("items").alias("position", "_item")).select(F.col(key), "position", "_item.*")
-    refs = items.withColumn("_digest", F.when(F.col("ref").startswith(SCHEME), F.substring("ref", len(SCHEME) + 1, 64)))
-    return refs.join(media.withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")
+    scratch = Scratch(sequences.sparkSession, "media")
+    items = references(sequences, key)
+    refs = scratch.save(items.where("digest IS NOT NULL"))
+    asked = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("_copies"))
+    known = scratch.save(media.join(asked, "digest"))
+    found = spread_join(refs, known, "digest", refs.count(), "left", hot=hot)
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in media.schema if f.name != "digest"]
+    return items.where("digest IS NULL").select("*", *none).unionByName(found).drop("digest")
 
 
 def padded(text: Column, width: int = WIDTH) -> Column:
@@ -202,29 +215,37 @@ def padded(text: Column, width: int = WIDTH) -> Column:
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def features(resolved: DataFrame, key: str = "page_id") -> DataFrame:
-    """Of each item with an image, read back from the image: ``key``, ``position``, ``caption`` and ``FEATURES``.
+def features_of(media: DataFrame) -> DataFrame:
+    """``digest`` and ``FEATURES`` of each stored image, read back from it; null images are left out.
 
     ``feature`` is width, height, mean sample in thousandths, and number of distinct samples.
     """
-    rows = prepared(resolved).where(F.col("image").isNotNull()).select(F.col(key).alias("_key"), "position", "caption", "image")
-    kind = rows.schema["_key"].dataType.simpleString()
+    rows = prepared(media).where(F.col("image").isNotNull()).select("digest", "image")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["_key", "position", "caption", *(f.split()[0] for f in FEATURES.split(", "))]
+        names = ["digest", *(f.split()[0] for f in FEATURES.split(", "))]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
-                for image in part.column(3).to_pylist():
+                for image in part.column(1).to_pylist():
                     samples, width, height = from_png(image)
                     counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
                     mean = int(counts @ np.arange(256)) * 1000 // len(samples)
                     feature = f"{width}x{height};mean={mean};distinct={np.count_nonzero(counts)}"
                     out.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature))
                 columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
 
-    return rows.mapInArrow(tidy(run), f"_key {kind}, position int, caption string, {FEATURES}").withColumnRenamed("_key", key)
+    return rows.mapInArrow(tidy(run), f"digest string, {FEATURES}")
+
+
+def features(sequences: DataFrame, media: DataFrame, key: str = "page_id", hot: int = HOT) -> DataFrame:
+    """Of each item with a stored image: ``key``, ``position``, ``caption`` and ``FEATURES``.
+
+    An image is read back once, however many items refer to it; items meet the features by digest, as in ``resolve``.
+    """
+    resolved = resolve(sequences, features_of(media), key, hot)
+    return resolved.where("media_bytes IS NOT NULL").select(key, "position", "caption", *(f.split()[0] for f in FEATURES.split(", ")))

@@ -110,4 +110,4 @@ def test_media_of_odd_rows(spark, odd, empty):
     rows = media.resolve(media.sequences(pages), media.store(empty.selectExpr("text AS payload"))).collect()
     got = sorted((r["page_id"], r["position"], r["kind"], r["text"], r["caption"], r["image"]) for r in rows)
     assert got == [(1, 0, "text", "a", None, None), (1, 1, "media", None, "the cap", None), (1, 2, "text", "b", None, None), (3, 0, "text", "c", None, None)]
-    assert media.features(media.resolve(media.sequences(pages), media.store(empty.selectExpr("text AS payload")))).collect() == []
+    assert media.features(media.sequences(pages), media.store(empty.selectExpr("text AS payload"))).collect() == []
