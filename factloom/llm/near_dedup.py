@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
+from .common import HOT, HOT_KEYS, Scratch, spread_join, tidy
 
 #: Minwise values of a set; branches select by their bytes.
 COORDINATES = 64
@@ -174,7 +174,9 @@ def _by_group(df: DataFrame, group: str, fn: Callable[[pa.Table], Iterator[tuple
         if pairs:
             yield out()
 
-    return df.repartition(group).sortWithinPartitions(group).mapInArrow(tidy(run), "id long, root long")
+    # As many tasks as the session's setting says: these rows are small and cost much, so their bytes say little.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, group).sortWithinPartitions(group).mapInArrow(tidy(run), "id long, root long")
 
 
 def _roots(linked: np.ndarray) -> np.ndarray:
@@ -189,18 +191,19 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         at = new
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
     """``id``, ``root`` (smallest id of the component) for all ids of the edges (``id``, ``root``).
 
     Alternates two star steps on the edge list: every id hands its smallest neighbour to its larger ones, then to
-    its smaller ones; each step is a minimum by id (combined before the shuffle) and a join. Ends when nothing
-    changes; the number of rounds grows with the logarithm of the longest chain.
+    its smaller ones; each step is a minimum by id (combined before the shuffle) and a join that broadcasts the ids
+    with very many neighbours. Ends when nothing changes; the number of rounds grows with the logarithm of the longest
+    chain.
     """
 
-    def star(pairs: DataFrame, upwards: bool) -> DataFrame:
+    def star(pairs: DataFrame, upwards: bool, total: int) -> DataFrame:
         both = pairs.union(pairs.select(F.col("root").alias("id"), F.col("id").alias("root"))) if upwards else pairs
-        least = both.groupBy("id").agg(F.min("root").alias("least")).withColumn("least", F.least("id", "least"))
-        told = both.join(least, "id")
+        least = both.groupBy("id").agg(F.least("id", F.min("root")).alias("least"), F.count(F.lit(1)).alias("_copies"))
+        told = spread_join(both, least, "id", total, hot=hot)
         if upwards:
             made = told.where("root > id").select(F.col("root").alias("id"), F.col("least").alias("root"))
         else:
@@ -214,12 +217,21 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(ordered)
     before, here = None, state(now)
     while here != before:
-        after = scratch.save(star(star(now, True), False))
+        after = scratch.save(star(star(now, True, 2 * here[0]), False, here[0]))
         scratch.drop(now)
         now, before, here = after, here, state(after)
     return now.union(now.select(F.col("root").alias("id"), "root").distinct())
 
 
+def _told(rows: DataFrame, table: DataFrame, total: int, count: str, scratch: Scratch, hot: int = HOT) -> DataFrame:
+    """The rows with what a table says of their nodes (rows of other nodes go); ``count`` is its number of rows a node.
+    A table of few nodes is broadcast; else the nodes with very many rows are, and the others meet by a shuffle."""
+    table = scratch.save(table)
+    if table.count() <= HOT_KEYS:
+        return rows.join(F.broadcast(table), "node")
+    return spread_join(rows, table.withColumn("_copies", F.col(count)), "node", total, hot=hot)
+
+
 def _tree_nodes(classes: DataFrame, trees: int, within: str | None = None) -> DataFrame:
     """The rows in the root level's nodes of all trees; with ``within``, in trees of their own for each value of it."""
     more = [F.col(within)] if within else []
@@ -247,7 +259,9 @@ def _sized(rows: DataFrame, scratch: Scratch) -> DataFrame:
     most = F.max(F.struct("_c", "_e", "label")).alias("_m")
     sizes = by_label.groupBy("node").agg(F.sum("_c").alias("members"), F.sum("_e").alias("elements"), most).where("members > _m._c")
     sizes = sizes.select("node", "members", "elements", F.col("_m.label").alias("_most"), (F.col("members") - F.col("_m._c")).alias("_others"), (F.col("elements") - F.col("_m._e")).alias("_weight"))
-    return scratch.save(rows.join(sizes, "node"))
+    sizes = scratch.save(sizes)
+    total = sizes.agg(F.sum("members")).first()[0] or 0
+    return scratch.save(_told(rows, sizes, total, "members", scratch))
 
 
 def _few(cluster: int, elements: int) -> Column:
@@ -276,15 +290,16 @@ def _branched(
     columns = ["node", "id", "n", "bytes"]
     for level in range(levels + 1):
         leaves.append(sized.where(fits).select(*columns))
-        large = sized.where(~fits).select(*columns)
+        large = sized.where(~fits)
         if large.isEmpty():
             break
         order = Window.partitionBy("node").orderBy(F.xxhash64("id", "node"))
-        first = large.select("node", "id", "bytes", F.row_number().over(order).alias("_r")).where(F.col("_r") <= PIVOTS)
-        pivots = first.groupBy("node").agg(F.collect_list(F.struct("id", "bytes")).alias("_pivots"))
+        first = large.select("node", "id", "bytes", "members", F.row_number().over(order).alias("_r")).where(F.col("_r") <= PIVOTS)
+        pivots = first.groupBy("node").agg(F.max("members").alias("_size"), F.collect_list(F.struct("id", "bytes")).alias("_pivots"))
         same = lambda x: F.size(F.filter(F.sequence(F.lit(1), F.lit(COORDINATES)), lambda i: F.substring("bytes", i, F.lit(1)) == F.substring(x, i, F.lit(1))))
         near = F.filter("_pivots", lambda p: (p["id"] != F.col("id")) & (same(p["bytes"]) >= bar))
-        told = large.join(pivots, "node").select("id", F.explode(near).alias("_pivot"))
+        large = large.select(*columns)
+        told = _told(large, pivots, large.count(), "_size", scratch).select("id", F.explode(near).alias("_pivot"))
         edges.append(scratch.save(told.select("id", F.col("_pivot.id").alias("root")).distinct()))
         found = edges[0]
         for e in edges[1:]:
@@ -296,16 +311,16 @@ def _branched(
         if rest.isEmpty():
             break
         if level == levels:
-            leaves.append(_blocks(rest, cluster, elements).select(*columns))
+            leaves.append(_blocks(rest, scratch, cluster, elements).select(*columns))
             break
         sized = _sized(_children(rest, branches), scratch)
     return leaves, edges
 
 
-def _blocks(large: DataFrame, cluster: int = NODE, elements: int = ELEMENTS) -> DataFrame:
+def _blocks(large: DataFrame, scratch: Scratch, cluster: int = NODE, elements: int = ELEMENTS) -> DataFrame:
     """Nodes that no path splits, as pairs of blocks: each row goes to the pairs that its block is part of."""
-    counts = large.groupBy("node").agg(F.ceil(2 * F.greatest(F.count(F.lit(1)) / cluster, F.sum("n") / elements)).alias("_blocks"))
-    rows = large.join(counts, "node").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    counts = large.groupBy("node").agg(F.count(F.lit(1)).alias("_size"), F.ceil(2 * F.greatest(F.count(F.lit(1)) / cluster, F.sum("n") / elements)).alias("_blocks"))
+    rows = _told(large, counts, large.count(), "_size", scratch).drop("_size").withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
     pair = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1), lambda b: F.xxhash64("node", F.least("_block", b), F.greatest("_block", b)))
     return rows.withColumn("node", F.explode(pair)).drop("_blocks", "_block").withColumns({"members": F.lit(0).cast("bigint"), "elements": F.lit(0).cast("bigint")})
 
@@ -324,8 +339,9 @@ def _large_clusters(
         need = F.ceil(2 * F.greatest(F.count(F.lit(1)) / cluster, F.sum("n") / elements)).alias("_blocks")
         order = Window.partitionBy("node").orderBy(F.xxhash64("id", "node"))
         pivots = rows.select("node", "id", F.row_number().over(order).alias("_r")).where(F.col("_r") <= PIVOTS)
-        counts = rows.groupBy("node").agg(need)
-        own = rows.select("node", "id").join(counts, "node").select(F.xxhash64("node", F.pmod(F.xxhash64("id"), F.col("_blocks"))).alias("node"), "id")
+        counts = scratch.save(rows.groupBy("node").agg(need, F.count(F.lit(1)).alias("_size")))
+        total = counts.agg(F.sum("_size")).first()[0] or 0
+        own = _told(rows.select("node", "id"), counts, total, "_size", scratch).select(F.xxhash64("node", F.pmod(F.xxhash64("id"), F.col("_blocks"))).alias("node"), "id")
         everywhere = pivots.join(counts, "node").select("node", "id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_b"))
         found = confirmed(own.union(everywhere.select(F.xxhash64("node", "_b").alias("node"), "id")))
         links = scratch.save(found if links is None else links.union(found))
@@ -340,7 +356,7 @@ def _large_clusters(
         rows = below.where(~fits)
         if rows.isEmpty():
             return links
-    return links.union(confirmed(_blocks(rows, cluster, elements)))
+    return links.union(confirmed(_blocks(rows, scratch, cluster, elements)))
 
 
 def _candidates(bar: int, percent: int) -> Callable[[pa.Table], Iterator[tuple[int, int]]]:
@@ -367,7 +383,7 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
     n = np.array([len(s) for s in sets], np.int64)
     _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     member = np.repeat(np.arange(len(sets)), n)
-    common = np.zeros((len(sets), len(sets)), np.float32)  # counts below 2**24 are exact
+    common = np.zeros((len(sets), len(sets)), np.int32)
     often = np.cumsum(count > 1) - 1  # elements of one set only meet nothing
     columns = int(often[-1]) + 1 if len(often) else 0
     shared = count[of] > 1
@@ -383,7 +399,7 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
         lo, hi = np.searchsorted(c, [at, at + 4096])
         block = np.zeros((len(sets), 4096), np.float32)
         block[r[lo:hi], c[lo:hi] - at] = 1
-        common += block @ block.T
+        np.add(common, block @ block.T, out=common, casting="unsafe")  # a product counts to 4096 at most
     # Rare elements: the few pairs of sets that each one is in.
     r, c = row[~wide], column[~wide]
     flat = common.reshape(-1)
@@ -426,6 +442,7 @@ def near_dedup(
     node: int = NODE,
     cluster: int = CLUSTER,
     elements: int = ELEMENTS,
+    hot: int = HOT,
 ) -> DataFrame:
     """One row per input row: ``key``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -438,18 +455,20 @@ def near_dedup(
     bar = likely(COORDINATES, percent)
     sets = scratch.save(sketches(df, key, text, words, trees))
     whole = sets.where("n > 0").groupBy("digest")
-    classes = scratch.save(whole.agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "paths", "bytes"))))
+    classes = scratch.save(whole.agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("_copies"), *(F.first(c).alias(c) for c in ("n", "paths", "bytes"))))
+    copies, classes = classes.select("digest", "_copies", "id"), classes.drop("_copies")
 
     roots = _tree_nodes(classes.select("id", "paths"), trees).select("id", "node")
-    several = roots.groupBy("node").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("node")
-    rows = roots.join(several, "node").join(classes.drop("digest", "paths"), "id")
+    several = scratch.save(roots.groupBy("node").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1"))
+    total = several.agg(F.sum("_copies")).first()[0] or 0
+    rows = spread_join(roots, several, "node", total, hot=hot).join(classes.drop("digest", "paths"), "id")
     leaves, edges = _branched(scratch.save(rows), F.col("members") <= node, bar, branches, levels, scratch, node)
     for leaf in leaves:
         edges.append(_by_group(leaf.select("node", "id", "n", "bytes"), "node", _candidates(bar, percent)))
     found = edges[0]
     for e in edges[1:]:
         found = found.union(e)
-    clusters = scratch.save(components(found, scratch).withColumnRenamed("root", "node"))
+    clusters = scratch.save(components(found, scratch, hot).withColumnRenamed("root", "node"))
 
     # Which texts meet where: clusters that fit as they are, larger ones branched.
     texts = df.select(F.coalesce(F.col(key), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -461,16 +480,19 @@ def near_dedup(
 
     sized = classes.drop("digest").join(clusters, "id")
     totals = sized.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"))
-    sized = scratch.save(sized.join(totals, "node"))
+    totals = scratch.save(totals)
+    sized = scratch.save(_told(sized, totals, totals.agg(F.sum("members")).first()[0] or 0, "members", scratch, hot))
     fits = (F.col("members") <= cluster) & (F.col("elements") <= elements)
     links = confirmed(sized.where(fits))
     large = sized.where(~fits)
     if not large.isEmpty():
         links = links.union(_large_clusters(large, fits, confirmed, scratch, trees, branches, levels, cluster, elements))
-    links = components(links, scratch)
+    links = components(links, scratch, hot)
 
-    same = classes.select("digest", F.col("id").alias("_class")).join(links.select(F.col("id").alias("_class"), "root"), "_class", "left")
-    out = sets.select("id", "n", "digest").join(same, "digest", "left")
-    out = out.withColumn("_root", F.coalesce("root", "_class", "id"))
+    # Rows find their class by digest: equal sets may be a third of all rows, and empty ones have no digest.
+    same = copies.withColumnRenamed("id", "_class").join(links.select(F.col("id").alias("_class"), "root"), "_class", "left")
+    same = scratch.save(same.select("digest", "_copies", F.coalesce("root", "_class").alias("_root")))
+    rows = sets.select("id", "n", "digest")
+    out = spread_join(rows.where("n > 0"), same, "digest", sets.count(), hot=hot).select("id", "n", "_root").union(rows.where("n = 0").select("id", "n", "id"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("id").alias(key), F.col("n").alias("n_shingles"), real("_root").alias("component_id"), (F.col("id") == F.col("_root")).alias("kept"))
