@@ -12,9 +12,11 @@ strings have equal anchors at equal places. The stretch of a document whose stri
 3. Contexts meet by anchor, some MB at a time. Their suffixes are sorted to the needed depth, which gives the
    Burrows-Wheeler transform, and the intervals of its strings of length 1, 2, ... are expanded backward, breadth
    first: common prefixes come out by increasing value, and expansion stops at ``LENGTH``. Suffixes in one
-   interval then share a string; all but the earliest are repeats. An anchor with more contexts than a task
-   should hold has its strings grouped one by one by Spark instead.
-4. Spans return to their documents.
+   interval then share a string; all but the earliest are repeats. The transform sees distinct contexts only.
+4. An anchor with more than ``CROWD`` contexts is split by what stands beside it: strings that begin well before the
+   anchor go by the bytes before it, the others by the bytes behind it, so that equal strings still meet. Parts go
+   through step 3, or are split again, until the strings of a part are all the same one.
+5. Spans return to their documents.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, tidy
+from .common import HOT_KEYS, Scratch, spread_join, tidy
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are hashed at once; anchors and contexts that a task compares at once.
 PIECE, CHUNK, BLOCK = 4_000_000, 2_000_000, 300_000
-#: Contexts of an anchor beyond which its strings are grouped one by one.
-CROWD = 20_000
+#: Contexts of an anchor, or of a part of its strings, beyond which they are split.
+CROWD = 4_000
 NULL_ID = 2**63 - 1
 
 _U = np.uint64
@@ -318,14 +320,101 @@ def _compared(rows: DataFrame, length: int, block: int) -> DataFrame:
     return ordered.mapInArrow(tidy(run), "id long, start long, end long")
 
 
-def _one_by_one(rows: DataFrame, length: int) -> DataFrame:
-    """Spans for anchors with very many contexts: each string by itself, grouped by its bytes."""
-    at = F.explode(F.sequence(F.lit(0), F.octet_length("context") - length)).alias("_at")
-    strings = rows.select("id", "start", "context", at)
-    strings = strings.select("id", (F.col("start") + F.col("_at")).alias("start"), F.substring("context", F.col("_at") + 1, F.lit(length)).alias("string"))
-    earliest = strings.groupBy("string").agg(F.min(F.struct("id", "start")).alias("first"))
-    later = strings.join(earliest, "string").where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
-    return later.select("id", "start", (F.col("start") + length).alias("end"))
+def _halves(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Each part (``anchor``, ``lo``, ``hi``) split into strings whose anchor lies lo to mid, or mid + 1 to hi, bytes in.
+
+    All strings of a half have the same bytes around the anchor in common; their hash names the half. Within a task's
+    chunk, of equal contexts of a half only the earliest goes on; the others are spans (context null, ``end``).
+    rows: ``anchor``, ``id``, ``start``, ``context``, ``lo``, ``hi``, ``at`` (of the anchor in the context; null: not known yet).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int, int, bytes], tuple[int, int, int]] = {}
+        covered: list[tuple[int, int, int]] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rest = [(None, i, a, b, None, None, None, None) for i, a, b in covered]
+            rest += [(h, i, a, None, c, lo, hi, at) for (h, lo, hi, c), (i, a, at) in seen.items()]
+            seen.clear()
+            covered.clear()
+            for k in range(0, len(rest), 20_000):
+                cols = list(zip(*rest[k : k + 20_000], strict=True))
+                kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int32()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["anchor", "id", "start", "end", "context", "lo", "hi", "at"])
+
+        for batch in batches:
+            for anchor, doc, start, c, lo, hi, at in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if at is None:
+                    hashes = _gram_hashes(np.frombuffer(c, np.uint8), gram).view(np.int64)
+                    at = int(np.argmax(hashes == anchor))
+                mid = (lo + hi) // 2
+                for low, high in ((lo, mid), (mid + 1, hi)):
+                    first, last = max(0, at - high), min(len(c) - length, at - low)
+                    if first > last:
+                        continue
+                    core = c[at - low : at - high + length]
+                    name = int.from_bytes(hashlib.blake2b(core + anchor.to_bytes(8, "little", signed=True), digest_size=8).digest(), "little", signed=True)
+                    part = c[first : last + length]
+                    entry, key = (doc, start + first, at - first), (name, low, high, part)
+                    old = seen.get(key)
+                    if old is None:
+                        size += len(part)
+                    if old is None or entry[:2] < old[:2]:
+                        seen[key] = entry
+                        entry = old
+                    if entry is not None and entry[:2] != seen[key][:2]:
+                        covered.append((entry[0], entry[1], entry[1] + len(part)))
+                if size > 16_000_000 or len(covered) > 200_000:
+                    yield from out()
+                    size = 0
+        yield from out()
+
+    columns = rows.select("anchor", "id", "start", "context", "lo", "hi", "at")
+    return columns.mapInArrow(tidy(run), "anchor long, id long, start long, end long, context binary, lo int, hi int, at int")
+
+
+def _one_string(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """Spans of parts whose strings are all the same one, by part (``anchor``): all but the earliest."""
+    rows = scratch.save(rows.select("anchor", "id", "start"))
+    earliest = scratch.save(rows.groupBy("anchor").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("_copies")))
+    later = spread_join(rows, earliest, "anchor", rows.count())
+    return later.where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start"))).select("id", "start", (F.col("start") + length).alias("end"))
+
+
+def _by_parts(found: DataFrame, length: int, gram: int, block: int, crowd: int, scratch: Scratch) -> DataFrame:
+    """Spans of repeated strings among contexts; crowded anchors are split until their parts fit."""
+    found = found.select("anchor", "id", "start", "context").withColumns({"lo": F.lit(0), "hi": F.lit(length - gram), "at": F.lit(None).cast("int")})
+    spans = None
+    while True:
+        counts = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
+        crowded = scratch.save(counts.where(F.col("_n") > crowd).select("anchor"))
+        n = crowded.count()
+        if not n:
+            part = _compared(found, length, block)
+            return part if spans is None else spans.union(part)
+        crowded = F.broadcast(crowded) if n <= HOT_KEYS else crowded
+        fits = scratch.save(_compared(found.join(crowded, "anchor", "left_anti"), length, block))
+        spans = fits if spans is None else spans.union(fits)
+        large = found.join(crowded, "anchor", "left_semi")
+        spans = spans.union(_one_string(large.where("lo = hi"), length, scratch))
+        split = scratch.save(_halves(large.where("lo < hi"), length, gram))
+        spans = spans.union(split.where("context IS NULL").select("id", "start", "end"))
+        found = split.where("context IS NOT NULL").drop("end")
+
+
+def _numbered(df: DataFrame, key: str, text: str, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """``key`` as given, ``id``, ``text``. An id is the key itself or, where keys repeat or are null more than once, a
+    number of the row's own in the order of the keys (null last), for all rows; the second value says which."""
+    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(key), F.lit(NULL_ID)).alias("id"), raw.alias("text"))
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        return rows.drop("_key"), False
+    # Numbered once, saved; the order of the numbers is that of a range partitioning and of the sort in it.
+    saved = scratch.save(rows.withColumn("_row", F.monotonically_increasing_id()))
+    order = saved.select("id", "_row").repartitionByRange("id", "_row").sortWithinPartitions("id", "_row")
+    order = scratch.save(order.select("_row", F.monotonically_increasing_id().alias("_number")))
+    return scratch.save(saved.join(order, "_row").select("_key", F.col("_number").alias("id"), "text")), True
 
 
 def remove_repeats(
@@ -334,13 +423,13 @@ def remove_repeats(
     """One row per input row: ``key``, ``n_bytes``, ``n_removed``, ``spans array<struct<start,end>>`` (merged,
     ascending), ``kept binary`` (null where nothing was removed), ``kept_sha256``.
 
-    Order is by key, then start; a null key comes last. Null texts count as empty. Rows that repeat a key and a text
-    are one document; the spans of rows that repeat a key with different texts are those of all of them, cut to
-    each text. Empty tables give empty results; other columns are not read.
+    Order is by key, then row, then start; a null key comes last. Null texts count as empty. Rows that repeat a key are
+    documents of their own, in the order of the input. Empty tables give empty results; other columns are not read.
     """
     scratch = Scratch(df.sparkSession, "repeats")
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = df.select(F.coalesce(F.col(key), F.lit(NULL_ID)).alias("id"), raw.alias("text"))
+    rows, numbered = _numbered(df, key, text, scratch)
+    keys = rows.select("id", "_key") if numbered else None
+    rows = rows.select("id", "text")
 
     anchors = scratch.save(_anchors(rows, length, gram))
     told = anchors.where("kind < 2").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("anchor")))  # a chunk tells once
@@ -349,19 +438,16 @@ def remove_repeats(
     cut = scratch.save(_cut(rows.join(lists, "id").select("id", "text", "anchors"), length, gram))
     scratch.drop(anchors)
 
-    found = cut.where("context IS NOT NULL")
-    crowded = scratch.save(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > crowd).select("anchor"))
     spans = cut.where("context IS NULL").select("id", "start", "end")
-    if crowded.isEmpty():
-        spans = spans.union(_compared(found, length, block))
-    else:
-        spans = spans.union(_compared(found.join(crowded, "anchor", "left_anti"), length, block)).union(_one_by_one(found.join(crowded, "anchor", "left_semi"), length))
+    spans = spans.union(_by_parts(cut.where("context IS NOT NULL"), length, gram, block, crowd, scratch))
     spans = scratch.save(spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     scratch.drop(cut)
 
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     whole = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), none.alias("spans"), F.lit(None).cast("binary").alias("kept"), F.sha2("text", 256).alias("kept_sha256"))
     out = whole.join(spans.select("id"), "id", "left_anti").union(_without(rows.join(spans, "id").select("id", "text", "spans")))
+    if keys is not None:
+        return out.join(keys, "id").select(F.col("_key").alias(key), *out.columns[1:])
     return out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", key)
 
 
