@@ -19,6 +19,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import no_clash
+
 
 def _vnodes(shards: int, vnodes: int, ring_bits: int) -> list[tuple[int, int]]:
     def place(s: int, v: int) -> int:
@@ -72,17 +74,21 @@ def shard_by_ring(
 ) -> DataFrame:
     """``key``, the given ``columns``, and each row's ``shard`` and gapless ``slot`` there.
 
-    Every input row gives one output row. Null keys are keys like any other; repeated rows (same key and
-    columns) are counted before the shuffle and get neighbouring slots; an empty input gives an empty result.
-    Only ``key`` and ``columns`` are read, so further columns, whatever their names, cannot clash.
+    Every input row gives one output row. Rows without a key go by their columns, so that a table of many of them
+    fills all positions; repeated rows (same key and columns) are counted before the shuffle and get neighbouring
+    slots; an empty input gives an empty result. Only ``key`` and ``columns`` are read; a column must not be called
+    ``shard``, ``slot`` or like the key.
     """
-    pos = F.shiftrightunsigned(F.xxhash64(F.col("_key")), 64 - ring_bits).cast("int")
-    if key in columns:
-        raise ValueError(f"{key} is the key")
-    found = df.select(F.col(key).alias("_key")).groupBy(pos.alias("_pos")).count().collect()  # 2**ring_bits rows at most
-    runs = _runs_frame(df, ring_plan({r["_pos"]: r["count"] for r in found}, shards, vnodes, ring_bits))
+    no_clash((key, "shard", "slot"), tuple(columns))
     names = [f"_c{i}" for i in range(len(columns))]
+    top = lambda h: F.shiftrightunsigned(h, 64 - ring_bits).cast("int")
+    pos = F.when(F.col("_key").isNull(), top(F.xxhash64(*names)) if names else F.lit(0)).otherwise(top(F.xxhash64("_key")))
     rows = df.select(F.col(key).alias("_key"), *(c.alias(n) for c, n in zip(columns.values(), names, strict=True)))
+    # The histogram reads keys only; the other columns just for rows without one.
+    with_key = df.select(F.col(key).alias("_key")).where("_key IS NOT NULL").select(top(F.xxhash64("_key")).alias("_pos"))
+    histogram = with_key.union(rows.where("_key IS NULL").select(pos.alias("_pos"))).groupBy("_pos").count()
+    found = histogram.collect()  # 2**ring_bits rows at most
+    runs = _runs_frame(df, ring_plan({r["_pos"]: r["count"] for r in found}, shards, vnodes, ring_bits))
     rows = rows.groupBy("_key", *names).agg(F.count(F.lit(1)).alias("_n")).withColumn("_pos", pos)
     order = Window.partitionBy("_pos").orderBy(F.xxhash64("_key"), "_key", *names)
     rows = rows.withColumn("_end", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
