@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepared, tidy
+from .common import no_clash, prepared, tidy
 
 #: n-grams of a profile, and of a document that are compared.
 PROFILE = 300
+#: Languages that a model may have.
+LANGUAGES = 2_000
 #: Distinct n-grams of a language that a task holds before it hands on its sums.
 HOLD = 2_000_000
 #: Code points of a text that are counted at once.
@@ -114,7 +116,10 @@ class Model:
 
 
 def train(df: DataFrame, lang: str = "lang", text: str = "text", profile: int = PROFILE) -> Model:
-    """Counts over all rows with a language; rows with a null text count nothing. An empty table gives no language."""
+    """Counts over all rows with a language; rows with a null text count nothing. An empty table gives no language.
+
+    The model is collected, so more than ``LANGUAGES`` labels are refused: the column holds something else then.
+    """
     rows = prepared(df).where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +159,10 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", profile: int =
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile)
     grams: dict[str, list[tuple[int, int]]] = {}
-    for r in top.collect():  # profile rows for each language
+    found = top.limit(LANGUAGES * profile + 1).collect()  # profile rows for each language
+    if len(found) > LANGUAGES * profile:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    for r in found:
         grams.setdefault(r["lang"], []).append((r["rank"], r["gram"]))
     names = tuple(sorted(grams))
     return Model(names, tuple(tuple(g for _, g in sorted(grams[n])) for n in names), profile)
@@ -164,9 +172,11 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """``key``, ``lang_pred``, ``score``: 1 less the distance over the largest possible one; a row per input row.
 
     ``und`` with score 0 where the text is null or has no letter, or the model knows no language. Keys are
-    passed on as they are; with ``carry``, the text and those columns follow, unchanged. No other column is read.
-    One narrow pass; the model is a few thousand numbers.
+    passed on as they are; with ``carry``, the text and those columns follow, unchanged; they must not bear the name of
+    another column of the result. No other column is read. Ties go to the language that comes first by name. One narrow pass; the model is a few thousand numbers.
     """
+    if carry is not None:
+        no_clash((key, text, "lang_pred", "score"), carry)
     names = ["_key", "_text", *(f"_c{i}" for i in range(len(carry or ())))]
     rows = prepared(df).select(key, text, *(carry or ())).toDF(*names)
     kinds = dict(rows.dtypes)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepared, tidy
+from .common import no_clash, prepared, tidy
 
 #: What the base kinds mean.
 BASE = {
@@ -154,8 +154,9 @@ def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tupl
 
     One row per input row, in one narrow pass without a shuffle; the columns of ``carry`` follow unchanged. Null
     texts count as empty: no spans, redacted is empty. Null and repeated keys are passed on; no other column is
-    read.
+    read. Carried columns must not bear the name of another column of the result.
     """
+    no_clash((key, "spans", "redacted"), carry)
     names = ["_key", "_text", *(f"_c{i}" for i in range(len(carry)))]
     rows = prepared(df).select(F.col(key), F.coalesce(F.col(text), F.lit("")), *carry).toDF(*names)
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
