@@ -156,11 +156,12 @@ def sequences(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
     return rows.mapInArrow(tidy(run), f"_key {kind}, items {ITEMS}").withColumnRenamed("_key", key)
 
 
-def store(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+def store(payloads: DataFrame, payload: str = "payload", unique: bool = True) -> DataFrame:
     """The media table of a column of payloads: ``digest`` (of the payload) and ``image``, one row per digest.
 
     Null payloads are left out. Copies are dropped within a task before the shuffle, so a payload that a third
-    of all rows share reaches the shuffle once a task.
+    of all rows share reaches the shuffle once a task. Without ``unique`` there is no shuffle, and a digest has a row, of the
+    same image, for each task that met it: enough for ``features``, which moves no images.
     """
     rows = prepared(payloads).select(F.col(payload).cast("binary").alias("_payload")).where(F.col("_payload").isNotNull())
 
@@ -176,7 +177,8 @@ def store(payloads: DataFrame, payload: str = "payload") -> DataFrame:
                         new.append((digest.hexdigest(), to_png(p)))
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in new], pa.string()), pa.array([i for _, i in new], pa.binary())], names=["digest", "image"])
 
-    return rows.mapInArrow(tidy(run), "digest string, image binary").groupBy("digest").agg(F.first("image").alias("image"))
+    made = rows.mapInArrow(tidy(run), "digest string, image binary")
+    return made.groupBy("digest").agg(F.first("image").alias("image")) if unique else made
 
 
 def references(sequences: DataFrame, key: str = "page_id") -> DataFrame:
@@ -245,7 +247,10 @@ def features_of(media: DataFrame) -> DataFrame:
 def features(sequences: DataFrame, media: DataFrame, key: str = "page_id", hot: int = HOT) -> DataFrame:
     """Of each item with a stored image: ``key``, ``position``, ``caption`` and ``FEATURES``.
 
-    An image is read back once, however many items refer to it; items meet the features by digest, as in ``resolve``.
+    An image is read back once, however many items refer to it; items meet the features by digest, as in ``resolve``. The media
+    table may have several rows of one image under a digest.
     """
-    resolved = resolve(sequences, features_of(media), key, hot)
-    return resolved.where("media_bytes IS NOT NULL").select(key, "position", "caption", *(f.split()[0] for f in FEATURES.split(", ")))
+    names = [f.split()[0] for f in FEATURES.split(", ")]
+    narrow = features_of(media).groupBy("digest").agg(*(F.first(n).alias(n) for n in names))
+    resolved = resolve(sequences, narrow, key, hot)
+    return resolved.where("media_bytes IS NOT NULL").select(key, "position", "caption", *names)

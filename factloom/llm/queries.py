@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import bpe, chat_format, exact_dedup, langid, media, near_dedup, packing, pii, repeats, ring
-from .common import documents
+from .common import Scratch, documents
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,8 @@ def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Each document is a page with one figure; its caption carries the unpadded length.
     figure = '<article><p>document</p><figure><img src="%s%s"><figcaption>%s bytes</figcaption></figure></article>'
     pages = docs.select("doc_id", F.format_string(figure, F.lit(media.SCHEME), F.sha2("payload", 256), F.col("n")).alias("html"))
-    found = media.features(media.sequences(pages, "doc_id"), media.store(docs), "doc_id")
+    stored = Scratch(spark, "media").save(media.store(docs, unique=False))
+    found = media.features(media.sequences(pages, "doc_id"), stored, "doc_id")
     n = F.split("caption", " ")[0].cast("long").alias("n_bytes")
     return found.select("doc_id", n, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
