@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Self
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,21 +22,21 @@ class FactSet:
     order: tuple[str, ...]
     kind: str = "facts"
 
-    def _with(self, df: DataFrame) -> FactSet:
-        return FactSet(df, self.order, self.kind)
+    def _with(self, df: DataFrame) -> Self:
+        return type(self)(df, self.order, self.kind)
 
-    def where(self, condition: Column | str) -> FactSet:
+    def where(self, condition: Column | str) -> Self:
         return self._with(self.df.where(condition))
 
-    def in_file(self, path: str, column: str = "file") -> FactSet:
+    def in_file(self, path: str, column: str = "file") -> Self:
         """Files that end with the path."""
         return self.where(F.col(column).endswith(path))
 
-    def in_dir(self, path: str, column: str = "file") -> FactSet:
+    def in_dir(self, path: str, column: str = "file") -> Self:
         """Files that contain the path."""
         return self.where(F.col(column).contains(path))
 
-    def having(self, column: str, *values: object) -> FactSet:
+    def having(self, column: str, *values: object) -> Self:
         """Rows whose array column holds any of the values."""
         return self.where(F.arrays_overlap(F.col(column), F.array(*(F.lit(v) for v in values))))
 
@@ -60,7 +61,7 @@ class FactSet:
         """Rows start to stop (exclusive) in order; reads ``stop`` rows of each task at most."""
         return self.df.orderBy(*self.order).offset(start).limit(max(0, stop - start))
 
-    def union(self, other: FactSet) -> FactSet:
+    def union(self, other: FactSet) -> Self:
         """Distinct union; of equal rows one stays. Both sides must be of one kind."""
         if other.kind != self.kind:
             raise TypeError(f"a {self.kind} set and a {other.kind} set have no union")

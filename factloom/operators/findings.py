@@ -48,6 +48,11 @@ def suppressed(df: DataFrame, inline: DataFrame, ignored: DataFrame, baseline: D
     return rows.select(*df.columns, by.alias("suppressed_by"))
 
 
+def without_keys(df: DataFrame, keys: DataFrame, key: str = "fingerprint") -> DataFrame:
+    """The rows whose key is not among those given."""
+    return df.join(keys.select(key), key, "left_anti")
+
+
 def at_least(df: DataFrame, label: str, column: str = "severity") -> DataFrame:
     """Findings as severe as the label or more; an unknown severity does not pass."""
     return df.where(severity_rank(F.col(column)) >= severity_rank(F.lit(label)))

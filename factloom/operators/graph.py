@@ -1,7 +1,8 @@
 """Graph operators: bounded closures by frontier, hierarchies, and per-function control flow.
 
-A closure is a driver loop over frames: each level joins the frontier with the edges and drops what is known, so
-cycles and many paths cost nothing. Levels are cut by tables in the shared folder, which survive lost executors.
+A closure over a graph that is small (``LOCAL_EDGES``, counted first) sends the graph to the tasks, which walk it root by
+root. A larger one is a driver loop over frames: each level joins the frontier with the edges and drops what is known, so
+cycles and many paths cost nothing. Levels are tables in the shared folder, which survive lost executors.
 Control-flow graphs are small and many: their algorithms run inside pandas groups dealt by a hash bucket, never
 one group per function.
 """
@@ -13,20 +14,27 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Distinct edges up to which a graph goes to every task (12 bytes each, and the names of its nodes once).
+LOCAL_EDGES = 2_000_000
 
-def _shared(spark: SparkSession) -> str:
+
+def _shared(spark: SparkSession, name: str) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not got.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
             got = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = got.get()
-    folder = f"{at.rstrip('/')}/closure-{uuid.uuid4().hex}"
+    folder = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, folder)  # results are lazy: the levels stay as long as the driver
     return folder
 
@@ -39,33 +47,107 @@ def _delete(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int, include_root: bool = False) -> DataFrame:
+class Levels:
+    """Tables of a loop in the shared folder: those added are its result so far; ``last_count`` is the newest one's size."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.at, self.paths, self.last_count = spark, _shared(spark, name), [], 0
+        self._schema = None
+        self._kept = 0
+
+    def _write(self, df: DataFrame, path: str) -> int:
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return seen.get["n"]
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table beside the levels."""
+        self._kept += 1
+        path = f"{self.at}/kept{self._kept}"
+        self.last_count = self._write(df, path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path = f"{self.at}/level{len(self.paths)}"
+        self._schema = df.schema
+        self.last_count = self._write(df, path)
+        self.paths.append(path)
+        return self.spark.read.schema(self._schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self._schema).parquet(*self.paths)
+
+
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int, include_root: bool = False, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``root``, ``node``, ``depth``: what each root reaches over ``src`` -> ``dst`` within ``max_depth`` levels.
 
     ``depth`` is the least number of edges. The root itself is left out even on cycles, or comes with depth 0 if
     ``include_root``. Null ends are no edges. Ends early when a level finds nothing.
     """
-    spark = edges.sparkSession
-    at = _shared(spark)
-    links = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    frontier = roots.select(F.col(roots.columns[0]).alias("root")).distinct().select("root", F.col("root").alias("node"))
-    frontier.withColumn("depth", F.lit(0)).write.parquet(f"{at}/d=0")
-    kind = frontier.schema["root"].dataType.simpleString()
-    schema = f"root {kind}, node {kind}, depth int"
-    paths = [f"{at}/d=0"]
-    for depth in range(1, max_depth + 1):
-        frontier = spark.read.schema(schema).parquet(paths[-1])
-        known = spark.read.schema(schema).parquet(*paths).select("root", "node")
-        new = frontier.join(links, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        new = new.join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        new.write.parquet(f"{at}/d={depth}")
-        paths.append(f"{at}/d={depth}")
-        if spark.read.schema(schema).parquet(paths[-1]).isEmpty():
-            break
-    found = spark.read.schema(schema).parquet(*paths)
+    levels = Levels(edges.sparkSession, "closure")
+    links = levels.keep(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    start = roots.select(F.col(roots.columns[0]).alias("root")).distinct()
+    if levels.last_count <= local_edges:
+        found = _walked(links, start, max_depth)
+    else:
+        frontier = levels.add(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
+        for depth in range(1, max_depth + 1):
+            new = frontier.join(links, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+            new = new.join(levels.all().select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
+            frontier = levels.add(new)
+            if not levels.last_count:
+                break
+        found = levels.all()
     return found if include_root else found.where("depth > 0")
 
 
+def _walked(links: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """The closure, root by root, over a graph that every task holds as a list of neighbours."""
+    spark, table = links.sparkSession, links.toArrow()
+    ends = pa.chunked_array([*table.column("src").chunks, *table.column("dst").chunks], table.schema.field(0).type)
+    coded = ends.combine_chunks().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    src, dst = codes[: len(table)], codes[len(table) :]
+    order = np.argsort(src, kind="stable")
+    first = np.searchsorted(src[order], np.arange(len(coded.dictionary) + 1)).astype(np.int32)
+    graph = spark.sparkContext.broadcast((coded.dictionary, first, dst[order]))
+    kind = roots.schema["root"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, first, after = graph.value
+        known = np.zeros(len(names), bool)
+        for batch in batches:
+            here = pc.index_in(batch.column(0), names).to_pylist() if len(names) else [None] * batch.num_rows
+            for i, code in enumerate(here):
+                root = batch.column(0).slice(i, 1)
+                yield pa.RecordBatch.from_arrays([root, root, pa.array([0], pa.int32())], names=["root", "node", "depth"])
+                if code is None:
+                    continue
+                found, depths, frontier = [], [], np.array([code], np.int32)
+                known[code] = True
+                for depth in range(1, max_depth + 1):
+                    counts = first[frontier + 1] - first[frontier]
+                    shift = first[frontier] - (np.cumsum(counts) - counts)
+                    new = after[np.repeat(shift, counts) + np.arange(int(counts.sum()))]
+                    frontier = np.unique(new[~known[new]])
+                    if not len(frontier):
+                        break
+                    known[frontier] = True
+                    found.append(frontier)
+                    depths.append(np.full(len(frontier), depth, np.int32))
+                known[code] = False
+                if found:
+                    nodes = np.concatenate(found)
+                    known[nodes] = False
+                    for at in range(0, len(nodes), 50_000):
+                        part = nodes[at : at + 50_000]
+                        same = pa.repeat(root[0], len(part))
+                        yield pa.RecordBatch.from_arrays([same, names.take(pa.array(part)), pa.array(np.concatenate(depths)[at : at + 50_000])], names=["root", "node", "depth"])
+
+    dealt = roots.repartition(spark.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, f"root {kind}, node {kind}, depth int")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``node``, ``n_callees``, ``n_callers`` over distinct edges, in one pass."""
     ends = F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
@@ -176,8 +258,20 @@ def _loops(after: dict[str, set[str]], blocks: set[str]) -> Iterator[tuple[str,
         yield from ((header, b) for b in body)
 
 
+def _immediate(after: dict[str, set[str]], blocks: set[str]) -> Iterator[tuple[str, str]]:
+    entry = _entry(blocks, after)
+    if entry is not None:
+        yield from ((b, x) for b, x in immediate_dominators(entry, dominator_sets(entry, after)).items() if b != entry)
+
+
+def _reaching(after: dict[str, set[str]], blocks: set[str]) -> Iterator[tuple[str, str]]:
+    for b in blocks:
+        for x in after.get(b, ()):
+            yield from ((b, y) for y in _reach(x, after))
+
+
 #: Per-graph relations by name; each gives pairs (block, other).
-PER_GRAPH = {"dominators": _dominators, "post_dominators": _post_dominators, "frontier": _frontier, "loops": _loops}
+PER_GRAPH = {"dominators": _dominators, "immediate": _immediate, "post_dominators": _post_dominators, "frontier": _frontier, "loops": _loops, "reaching": _reaching}
 
 
 def per_graph(edges: DataFrame, relation: str) -> DataFrame:
@@ -222,15 +316,15 @@ def per_graph(edges: DataFrame, relation: str) -> DataFrame:
 
 def simple_paths(edges: DataFrame, starts: DataFrame, max_edges: int = 20) -> DataFrame:
     """``graph``, ``path array<string>``: simple paths from each graph's start (``graph``, ``src``), level by level."""
-    paths = starts.select("graph", F.array("src").alias("path"))
-    out = paths
+    levels = Levels(edges.sparkSession, "paths")
+    links = levels.keep(edges.select("graph", "src", "dst").distinct())
+    paths = levels.add(starts.select("graph", F.array("src").alias("path")))
     for _ in range(max_edges):
-        step = paths.join(edges.select("graph", "src", "dst").distinct(), "graph").where((F.element_at("path", -1) == F.col("src")) & ~F.array_contains("path", F.col("dst")))
-        paths = step.select("graph", F.concat("path", F.array("dst")).alias("path"))
-        if paths.isEmpty():
+        step = paths.withColumn("src", F.element_at("path", -1)).join(links, ["graph", "src"]).where(~F.array_contains("path", F.col("dst")))
+        paths = levels.add(step.select("graph", F.concat("path", F.array("dst")).alias("path")))
+        if not levels.last_count:
             break
-        out = out.union(paths)
-    return out
+    return levels.all()
 
 
 def linear_mro(bases: dict[str, list[str]], name: str, seen: tuple[str, ...] = ()) -> tuple[list[str], bool]:
@@ -321,3 +415,60 @@ def precedes(pairs: DataFrame, blocks: DataFrame, dominators: DataFrame) -> Data
     same = F.col("a_block") == F.col("b_block")
     before = F.when(same, F.col("a_line") < F.col("b_line")).otherwise(F.coalesce("_dom", F.lit(False)))
     return placed.select(*pairs.columns, F.coalesce(before, F.lit(False)).alias("precedes"))
+
+
+def reachable_between(pairs: DataFrame, blocks: DataFrame, reaching: DataFrame) -> DataFrame:
+    """Pairs of places with ``reachable``: within a block the second line is not before the first, or the block is on a cycle; between
+    blocks one reaches the other; false if unknown.
+
+    pairs and blocks as for ``precedes``; reaching: ``graph``, ``block``, ``other`` of the relation ``reaching``.
+    """
+    at = lambda side: blocks.select("graph", F.col("line").alias(f"{side}_line"), F.col("block").alias(f"{side}_block"))
+    placed = pairs.join(at("a"), ["graph", "a_line"], "left").join(at("b"), ["graph", "b_line"], "left")
+    ways = reaching.select("graph", F.col("block").alias("a_block"), F.col("other").alias("b_block"), F.lit(True).alias("_way"))
+    placed = placed.join(ways, ["graph", "a_block", "b_block"], "left")
+    inside = (F.col("a_block") == F.col("b_block")) & (F.col("a_line") <= F.col("b_line"))
+    return placed.select(*pairs.columns, F.coalesce(inside | F.coalesce("_way", F.lit(False)), F.lit(False)).alias("reachable"))
+
+
+def guard_results(pairs: DataFrame, dominators: DataFrame, frontier: DataFrame) -> DataFrame:
+    """Pairs (``graph``, ``guard``, ``sensitive``: blocks) with ``sufficient`` (the guard dominates) and ``bypasses``: the guard's frontier blocks,
+    where control comes in past it, that dominate the sensitive block."""
+    dom = dominators.select("graph", F.col("block").alias("sensitive"), F.col("other").alias("guard"), F.lit(True).alias("_dom"))
+    entries = frontier.select("graph", F.col("block").alias("guard"), F.col("other").alias("_entry"))
+    above = dominators.select("graph", F.col("block").alias("sensitive"), F.col("other").alias("_entry"))
+    past = pairs.join(entries, ["graph", "guard"]).join(above, ["graph", "sensitive", "_entry"])
+    past = past.groupBy("graph", "guard", "sensitive").agg(F.array_sort(F.collect_set("_entry")).alias("bypasses"))
+    out = pairs.join(dom, ["graph", "guard", "sensitive"], "left").join(past, ["graph", "guard", "sensitive"], "left")
+    return out.select(*pairs.columns, F.coalesce("_dom", F.lit(False)).alias("sufficient"), F.coalesce("bypasses", F.array().cast("array<string>")).alias("bypasses"))
+
+
+def loops_around(loops: DataFrame) -> DataFrame:
+    """``graph``, ``block``, ``header``, ``depth``: the loops that hold each block, innermost (the least body, then header) at depth 1.
+
+    loops: the relation ``loops`` (``block`` is the header, ``other`` a member).
+    """
+    sizes = loops.groupBy("graph", "block").agg(F.count(F.lit(1)).alias("_n"))
+    held = loops.join(sizes, ["graph", "block"]).select("graph", F.col("other"), F.col("block").alias("header"), "_n")
+    order = Window.partitionBy("graph", "other").orderBy("_n", "header")
+    return held.select("graph", F.col("other").alias("block"), "header", F.row_number().over(order).alias("depth"))
+
+
+def in_blocks(items: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Items (``graph``, ``block``, ...) whose block is among the chosen (``graph``, ``block``)."""
+    return items.join(chosen.select("graph", "block").distinct(), ["graph", "block"], "left_semi")
+
+
+def labelled_ends(edges: DataFrame, statements: DataFrame, label: str = "raise") -> DataFrame:
+    """``graph``, ``block``, ``line``: blocks that an edge of the label leaves, with their last statement's line. edges: ``graph``, ``src``, ``label``; statements: ``graph``, ``block``, ``line``."""
+    last = statements.groupBy("graph", "block").agg(F.max("line").alias("line"))
+    return last.join(edges.where(F.col("label") == label).select("graph", F.col("src").alias("block")).distinct(), ["graph", "block"], "left_semi")
+
+
+def path_conditions(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """``graph``, ``path``, ``conditions array<struct<place,block,label>>``: the branches that a path takes. paths: ``graph``, ``path``; edges: ``graph``, ``src``, ``dst``, ``label``."""
+    steps = paths.select("graph", "path", F.posexplode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("place", "src")).withColumn("dst", F.element_at("path", F.col("place") + 2))
+    labels = edges.where(F.col("label").isin("true", "false")).groupBy("graph", "src", "dst").agg(F.max("label").alias("label"))
+    taken = steps.join(labels, ["graph", "src", "dst"]).groupBy("graph", "path").agg(F.sort_array(F.collect_list(F.struct("place", F.col("src").alias("block"), "label"))).alias("conditions"))
+    none = F.array().cast("array<struct<place:int,block:string,label:string>>")
+    return paths.join(taken, ["graph", "path"], "left").withColumn("conditions", F.coalesce("conditions", none))

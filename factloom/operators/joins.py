@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dotted_prefixes, short_name
+from ..functions.scalars import dotted_prefixes, dotted_suffixes, short_name
 
 
 def longest_prefix(names: DataFrame, aliases: DataFrame, name: str = "fqn") -> DataFrame:
@@ -28,14 +28,12 @@ def longest_prefix(names: DataFrame, aliases: DataFrame, name: str = "fqn") -> D
 
 def unique_suffix(names: DataFrame, structural: DataFrame, name: str = "fqn") -> DataFrame:
     """``canonical``: an exact structural name unchanged; else the one structural name that ends in ``.name``; else
-    unchanged. Structural names meet by their last segment; the full suffix is tested after it."""
-    known = structural.select(F.col("fqn").alias("_known")).distinct().withColumn("_last", short_name(F.col("_known")))
-    asked = names.select(F.col(name).alias("_name")).distinct().withColumn("_last", short_name(F.col("_name")))
-    hits = asked.join(known, "_last").where((F.col("_known") == F.col("_name")) | F.endswith("_known", F.concat(F.lit("."), F.col("_name"))))
-    found = hits.groupBy("_name").agg(F.count(F.lit(1)).alias("_n"), F.min("_known").alias("_one"), F.max((F.col("_known") == F.col("_name")).cast("int")).alias("_exact"))
-    out = names.join(found, names[name].eqNullSafe(found["_name"]), "left")
-    canonical = F.when((F.col("_exact") == 0) & (F.col("_n") == 1), F.col("_one")).otherwise(F.col(name))
-    return out.withColumn("canonical", canonical).drop("_name", "_n", "_one", "_exact")
+    unchanged. Structural names are exploded to their dotted suffixes, counted, and met by equality of the whole name."""
+    known = structural.select(F.col("fqn").alias("_known")).distinct()
+    endings = known.select("_known", F.explode(dotted_suffixes(F.col("_known"))).alias("_name"))
+    found = endings.groupBy("_name").agg(F.count(F.lit(1)).alias("_n"), F.min("_known").alias("_one"), F.max((F.col("_known") == F.col("_name")).cast("int")).alias("_exact"))
+    out = names.join(found.where("_n = 1 AND _exact = 0").select("_name", "_one"), names[name] == F.col("_name"), "left")
+    return out.withColumn("canonical", F.coalesce("_one", F.col(name))).drop("_name", "_one")
 
 
 def merge_call_edges(edges: DataFrame) -> DataFrame:
@@ -59,6 +57,11 @@ def merge_call_edges(edges: DataFrame) -> DataFrame:
     return out.select("caller", "callee", "file", "line", "n_sources", "n_arguments", confidence.alias("confidence"), F.array_join(others, ",").alias("alternatives"))
 
 
+def site_conflicts(edges: DataFrame) -> DataFrame:
+    """Call sites (``caller``, ``file``, ``line``) with several callees: ``n_callees``."""
+    return edges.groupBy("caller", "file", "line").agg(F.countDistinct("callee").alias("n_callees")).where("n_callees > 1")
+
+
 def hierarchy_edges(edges: DataFrame, methods: DataFrame) -> DataFrame:
     """Edges to the method that the caller's class really has under the callee's short name, where it differs.
 
@@ -130,6 +133,7 @@ def global_rules(rules: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def precise_first(matches: DataFrame, site: list[str], precise: Column) -> DataFrame:
-    """Lossy matches go where a precise one covers the same site; precise ones stay."""
-    covered = matches.where(precise).select(*site).distinct()
-    return matches.where(precise).unionByName(matches.where(~precise).join(covered, site, "left_anti"))
+    """Lossy matches go where a precise one covers the same site; precise ones stay. One pass over the matches: each site's
+    rows meet in a window."""
+    covered = F.max(precise.cast("int")).over(Window.partitionBy(*site))
+    return matches.withColumn("_covered", covered).where(precise | (F.coalesce("_covered", F.lit(0)) == 0)).drop("_covered")

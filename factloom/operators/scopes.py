@@ -12,8 +12,9 @@ def members(owners: DataFrame, edges: DataFrame, hooks: DataFrame, max_depth: in
     """``owner``, ``scope``, ``function`` for the scopes body, reachable and full_stack.
 
     owners: ``owner``, ``handler``, ``group``; edges: ``src``, ``dst``; hooks: ``hook``, ``group`` (null: all owners). The full
-    stack is what the handler and the hooks that apply to the owner reach. Handlers are resolved once each,
-    however many owners share them.
+    stack is what the handler and the hooks of the owner's group reach, and what ``everywhere`` says of all owners: a
+    hook that concerns everyone has one row with a null ``owner``, which stands for each of them, instead of one for
+    each. Handlers are resolved once each, however many owners share them.
     """
     starts = owners.select(F.col("handler").alias("root")).union(hooks.select("hook")).distinct()
     reach = closure(edges, starts, max_depth, include_root=True).select("root", F.col("node").alias("function"))
@@ -22,18 +23,45 @@ def members(owners: DataFrame, edges: DataFrame, hooks: DataFrame, max_depth: in
     reachable = own.select("owner", F.lit("reachable").alias("scope"), "function")
     grouped = owners.join(hooks.where("group IS NOT NULL"), "group").select("owner", "hook")
     stack = own.select("owner", "function").union(grouped.join(reach, F.col("hook") == F.col("root")).select("owner", "function"))
-    everywhere = hooks.where("group IS NULL").join(reach, F.col("hook") == F.col("root")).select("function").distinct()
-    functions = everywhere.agg(F.collect_set("function").alias("_all"))  # hooks of the application: a short list
-    stack = stack.union(owners.select("owner").withColumn("_k", F.lit(1)).join(functions.withColumn("_k", F.lit(1)), "_k").select("owner", F.explode("_all")))
-    return body.union(reachable).union(stack.distinct().select("owner", F.lit("full_stack").alias("scope"), "function"))
+    common = hooks.where("group IS NULL").join(reach, F.col("hook") == F.col("root")).select(F.lit(None).cast(owners.schema["owner"].dataType).alias("owner"), "function")
+    return body.union(reachable).union(stack.union(common).distinct().select("owner", F.lit("full_stack").alias("scope"), "function"))
+
+
+def everywhere(scope: DataFrame) -> DataFrame:
+    """``scope``, ``function``: the members that belong to every owner."""
+    return scope.where("owner IS NULL").select("scope", "function")
+
+
+def of_owners(scope: DataFrame, facts: DataFrame) -> DataFrame:
+    """``owner``, ``scope`` with the facts of the owners' own functions; what belongs to all is not repeated for each."""
+    return scope.where("owner IS NOT NULL").join(facts, "function")
+
+
+def counted(scope: DataFrame) -> DataFrame:
+    """``owner``, ``scope``, ``n_functions``: each owner's members, with those of all owners counted in once each."""
+    own = scope.where("owner IS NOT NULL").distinct()
+    common = everywhere(scope).distinct()
+    shared = own.join(common, ["scope", "function"], "left_semi").groupBy("owner", "scope").agg(F.count(F.lit(1)).alias("_both"))
+    sizes = own.groupBy("owner", "scope").agg(F.count(F.lit(1)).alias("_own"))
+    of_all = common.groupBy("scope").agg(F.count(F.lit(1)).alias("_all"))  # a row a scope at most
+    joined = sizes.join(shared, ["owner", "scope"], "left").join(F.broadcast(of_all), "scope", "left")
+    n = F.col("_own") + F.coalesce("_all", F.lit(0)) - F.coalesce("_both", F.lit(0))
+    return joined.select("owner", "scope", n.alias("n_functions"))
 
 
 def facts_in(scope: DataFrame, facts: DataFrame) -> DataFrame:
-    """``owner``, ``scope`` with the facts (``function``, ...) of their functions."""
+    """``owner``, ``scope`` with the facts (``function``, ...) of their functions; a null owner stands for all of them."""
     return scope.join(facts, "function")
 
 
+def with_any(owners: DataFrame, scope: DataFrame, facts: DataFrame, kind: str) -> DataFrame:
+    """Owners with some fact (``function``) in the scope; all of them where a function that belongs to all has one."""
+    return owners.join(without(owners, scope, facts, kind).select("owner"), "owner", "left_anti")
+
+
 def without(owners: DataFrame, scope: DataFrame, checks: DataFrame, kind: str = "full_stack") -> DataFrame:
-    """Owners with no check (``function``) anywhere in the scope."""
-    guarded = scope.where(F.col("scope") == kind).join(checks.select("function").distinct(), "function", "left_semi").select("owner")
-    return owners.join(guarded, "owner", "left_anti")
+    """Owners with no check (``function``) anywhere in the scope; a check that all share leaves nobody."""
+    hits = scope.where(F.col("scope") == kind).join(checks.select("function").distinct(), "function", "left_semi").select("owner").distinct()
+    some = owners.join(hits.where("owner IS NOT NULL"), "owner", "left_anti")
+    shared = hits.where("owner IS NULL").agg(F.count(F.lit(1)).alias("_shared"))  # one row
+    return some.withColumn("_shared", F.lit(0).cast("bigint")).join(F.broadcast(shared), "_shared", "left_semi").drop("_shared")

@@ -115,10 +115,12 @@ class Repo:
         return closure(self.call_edges, roots, depth, include_root=True)
 
     def routes_where(self, has: DataFrame, kind: str = "reachable") -> DataFrame:
-        return self.routes.join(self.in_scope(has, kind).select(F.col("owner").alias("route")).distinct(), "route", "left_semi")
+        found = scopes.with_any(self.routes.select(F.col("route").alias("owner")), self.scope, has, kind)
+        return self.routes.join(found.withColumnRenamed("owner", "route"), "route", "left_semi")
 
     def routes_without(self, has: DataFrame, kind: str = "full_stack") -> DataFrame:
-        return self.routes.join(self.in_scope(has, kind).select(F.col("owner").alias("route")).distinct(), "route", "left_anti")
+        found = scopes.without(self.routes.select(F.col("route").alias("owner")), self.scope, has, kind)
+        return self.routes.join(found.withColumnRenamed("owner", "route"), "route", "left_semi")
 
 
 def accepting(*methods: str) -> Column:

@@ -87,8 +87,13 @@ def request_inputs(repo: Repo) -> DataFrame:
 
 @detector("route-guards", "info", "The kinds of checks in each route's full stack")
 def route_guards(repo: Repo) -> DataFrame:
-    kinds = repo.in_scope(repo.checks, "full_stack").groupBy("owner").agg(F.array_join(F.array_sort(F.collect_set("detail")), ", ").alias("summary"))
-    return repo.routes.join(kinds.withColumnRenamed("owner", "route"), "route").select(*_place(), "summary")
+    found = repo.in_scope(repo.checks, "full_stack")
+    own = found.groupBy("owner").agg(F.collect_set("detail").alias("_own")).where("owner IS NOT NULL")
+    common = found.where("owner IS NULL").agg(F.collect_set("detail").alias("_common"), F.lit(0).alias("_k"))  # one row: kinds of checks are few
+    none = F.array().cast("array<string>")
+    rows = repo.routes.join(own.withColumnRenamed("owner", "route"), "route", "left").withColumn("_k", F.lit(0)).join(F.broadcast(common), "_k")
+    kinds = F.array_sort(F.array_union(F.coalesce("_own", none), F.coalesce("_common", none)))
+    return rows.where(F.size(kinds) > 0).select(*_place(), F.array_join(kinds, ", ").alias("summary"))
 
 
 @detector("unguarded-writes", "high", "Routes that write state with no check in their full stack")
