@@ -108,3 +108,80 @@ def logical_input(container: Column, key: Column, equivalence: str = "exact") ->
     if equivalence == "credential":
         return F.when(F.lower(key).isin(*CREDENTIALS), "credential").otherwise(F.concat(family, F.lit(":"), key))
     raise ValueError(f"{equivalence} is no equivalence")
+
+
+def call_name(expression: Column) -> Column:
+    """Short name of what a call's text calls."""
+    return F.substring_index(F.substring_index(expression, "(", 1), ".", -1)
+
+
+def severity_label(rank: Column) -> Column:
+    """The ladder's label at a place; null off the ladder."""
+    return F.get(F.array(*(F.lit(s) for s in SEVERITIES)), rank)
+
+
+def parsed_severity(label: Column) -> Column:
+    """Place of a label on the ladder; an unknown label fails the query."""
+    return F.when(severity_rank(label) >= 0, severity_rank(label)).otherwise(F.raise_error(F.concat(F.coalesce(label, F.lit("null")), F.lit(" is no severity"))).cast("int"))
+
+
+def stable_key(rule_id: Column, line_text: Column) -> Column:
+    """Identity of a finding's place that survives moved lines: of the rule and the stripped source line, 16 hex digits."""
+    return F.substring(F.sha2(F.concat(rule_key(rule_id), F.lit("\0"), F.trim(line_text)), 256), 1, 16)
+
+
+def starts_not_after(left: str, right: str) -> Column:
+    """Source order of two spans' starts (structs with ``line`` and ``column``)."""
+    at = lambda s: F.struct(F.col(f"{s}.line"), F.col(f"{s}.column"))
+    return at(left) <= at(right)
+
+
+def find_argument(arguments: Column, position: int | None, keyword: str | None) -> Column:
+    """The argument of that keyword, else of that position; null without either."""
+    by = lambda test: F.get(F.filter(arguments, test), F.lit(0))
+    named = by(lambda a: a["keyword"] == keyword) if keyword is not None else None
+    placed = by(lambda a: a["keyword"].isNull() & (a["position"] == position)) if position is not None else None
+    found = [c for c in (named, placed) if c is not None]
+    return F.coalesce(*found)
+
+
+def receiver_and_method(fqn: Column) -> Column:
+    """``receiver`` (null without a dot) and ``method`` of a qualified name."""
+    return F.struct(owner_of(fqn).alias("receiver"), short_name(fqn).alias("method"))
+
+
+def simple_name(expression: Column) -> Column:
+    """A bare identifier; null for any other expression."""
+    return F.when(expression.rlike(r"^[A-Za-z_]\w*$"), expression)
+
+
+def type_allows_none(declared: Column) -> Column:
+    """Whether a type's text names None or Optional as a word of its own."""
+    return declared.rlike(r"(^|[^A-Za-z0-9_])(None|Optional)([^A-Za-z0-9_]|$)")
+
+
+#: Kinds of type disagreement, and why each of them matters.
+RELEVANCE = {
+    "optionality": "a check may be skipped where a value is None",
+    "container": "a container of another shape may pass a check on its elements",
+    "scalar": "a comparison may behave otherwise for another scalar type",
+    "callable": "a call may reach another target",
+    "identity": "another object may stand in for the checked one",
+}
+
+
+def security_relevance(kind: Column) -> Column:
+    """Why a disagreement matters; null where it doesn't."""
+    return F.create_map(*(F.lit(x) for kv in RELEVANCE.items() for x in kv))[F.lower(kind)]
+
+
+def source_fingerprint(path: Column, modified: Column, size: Column) -> Column:
+    """Changes when a file's path, time or size does."""
+    return fingerprint(path, modified.cast("string"), size.cast("string"))
+
+
+def path_parameters(rule: Column) -> Column:
+    """``array<struct<name,type>>`` of a URL rule, in ``<type:name>`` or ``{name:type}`` form; type ``string`` where none is given."""
+    angle = F.transform(F.regexp_extract_all(rule, F.lit(r"<([^<>]+)>"), F.lit(1)), lambda p: F.struct(F.substring_index(p, ":", -1).alias("name"), F.when(F.instr(p, ":") > 0, F.regexp_replace(F.substring_index(p, ":", 1), r"\(.*$", "")).otherwise("string").alias("type")))
+    curly = F.transform(F.regexp_extract_all(rule, F.lit(r"\{([^{}]+)\}"), F.lit(1)), lambda p: F.struct(F.substring_index(p, ":", 1).alias("name"), F.when(F.instr(p, ":") > 0, F.substring_index(p, ":", -1)).otherwise("string").alias("type")))
+    return F.concat(angle, curly)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import findings, flow, graph, joins, patterns, scopes
+from ..operators import derive, exceptions, findings, flow, graph, joins, patterns, relations, scopes, summaries
 from ..operators.collection import FactSet, section_counts, top_of_sections
 from ..operators.selectors import Effect, Fn, Source, When, any_of, comparing
 from .views import sql_of, table, view
@@ -150,16 +150,14 @@ def topn_per_section(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) b
 FULL JOIN (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) a ON a.k = b.k""")
 def diff_full_outer(spark: SparkSession, d: str) -> DataFrame:
-    side = lambda c, n: table(spark, d, "lineitem").where(c).groupBy(F.col("l_suppkey").alias("key")).agg(F.count(F.lit(1)).alias(n))
-    both = side("l_linestatus = 'O'", "before").join(side("l_returnflag = 'R'", "after"), "key", "full").na.fill(0, ["before", "after"])
-    return both.withColumn("delta", F.col("after") - F.col("before"))
+    side = lambda c: table(spark, d, "lineitem").where(c).groupBy(F.col("l_suppkey").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return summaries.difference(side("l_linestatus = 'O'"), side("l_returnflag = 'R'"), ["key"])
 
 
 @query("SELECT p_brand, count(*) AS declared, count(l_partkey) AS matched FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R') ON l_partkey = p_partkey GROUP BY 1")
 def coverage_left_join(spark: SparkSession, d: str) -> DataFrame:
-    used = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_partkey").distinct()
-    joined = table(spark, d, "part").join(used, F.col("p_partkey") == F.col("l_partkey"), "left")
-    return joined.groupBy("p_brand").agg(F.count(F.lit(1)).alias("declared"), F.count("l_partkey").alias("matched"))
+    used = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    return summaries.coverage(table(spark, d, "part"), used, "p_partkey", ["p_brand"])
 
 
 @query("""SELECT file, line, expression, CASE WHEN bool_or(t = 'None') THEN 'optionality' WHEN bool_or(t IN ('list','dict','tuple')) THEN 'container' WHEN bool_or(t IN ('int','str','float')) THEN 'scalar' ELSE 'identity' END AS kind,
@@ -176,8 +174,9 @@ def type_disagreement_group(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey, o_orderstatus, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS methods, min(o_orderkey) AS representative FROM orders GROUP BY 1, 2")
 def route_merge(spark: SparkSession, d: str) -> DataFrame:
-    merged = table(spark, d, "orders").groupBy("o_custkey", "o_orderstatus")
-    return merged.agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("methods"), F.min("o_orderkey").alias("representative"))
+    routes = table(spark, d, "orders").select("o_custkey", "o_orderstatus", F.array("o_orderpriority").alias("methods"), F.col("o_orderkey").alias("representative"))
+    merged = derive.merged_routes(routes, ["o_custkey", "o_orderstatus"], ["representative"])
+    return merged.withColumn("methods", F.array_join("methods", ","))
 
 
 # --- joins ----------------------------------------------------------------------------------------------------
@@ -185,14 +184,14 @@ def route_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def semi_join_decorated(spark: SparkSession, d: str) -> DataFrame:
-    marked = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").join(marked, "o_orderkey", "left_semi").select("o_orderkey")
+    marks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("target_fqn"), F.col("l_returnflag").alias("name"), F.lit(None).cast("string").alias("fqn"))
+    return relations.decorated(table(spark, d, "orders"), marks, "R", "o_orderkey").select("o_orderkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_join_suppress(spark: SparkSession, d: str) -> DataFrame:
     urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey")
+    return findings.without_keys(table(spark, d, "customer"), urgent, "c_custkey").select("c_custkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_linestatus FROM lineitem a WHERE l_linestatus = 'O' OR NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber AND b.l_linestatus = 'O')")
@@ -242,8 +241,7 @@ def call_merge_consensus(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_MERGED} SELECT caller, file, line, CAST(len(everyone) AS BIGINT) AS n_callees FROM s WHERE len(everyone) > 1")
 def site_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    sites = view(spark, d, "site_edges").groupBy("caller", "file", "line").agg(F.countDistinct("callee").alias("n_callees"))
-    return sites.where("n_callees > 1")
+    return joins.site_conflicts(view(spark, d, "site_edges"))
 
 
 @query("""WITH m AS (SELECT 'c' || l_orderkey AS class, 'm' || l_linenumber AS method, 'c' || arg_min(l_suppkey, struct_pack(p := l_partkey, s := 'c' || l_suppkey)) AS definer FROM lineitem GROUP BY 1, 2)
@@ -342,7 +340,9 @@ def scope_reads_join(spark: SparkSession, d: str) -> DataFrame:
     roots = table(spark, d, "nation").select(F.concat(F.lit("N:"), F.col("n_nationkey").cast("string")).alias("root"))
     scope = graph.closure(view(spark, d, "dag"), roots, 5, include_root=True)
     reads = table(spark, d, "lineitem").select(F.concat(F.lit("O:"), F.col("l_orderkey").cast("string")).alias("node"), "l_returnflag")
-    return scope.join(reads, "node").groupBy("root").agg(F.count(F.lit(1)).alias("n_reads"), F.sum((F.col("l_returnflag") == "R").cast("int")).alias("n_effects"))
+    members = scope.select(F.col("root").alias("owner"), F.lit("reachable").alias("scope"), F.col("node").alias("function"))
+    found = scopes.facts_in(members, reads.withColumnRenamed("node", "function"))
+    return found.groupBy(F.col("owner").alias("root")).agg(F.count(F.lit(1)).alias("n_reads"), F.sum((F.col("l_returnflag") == "R").cast("int")).alias("n_effects"))
 
 
 _CFG = f"c AS (SELECT DISTINCT graph, src, dst FROM {sql_of('control')} x), n AS (SELECT DISTINCT graph, src AS b FROM c UNION SELECT graph, dst FROM c)"
@@ -497,11 +497,12 @@ def guardless_open_orders(spark: SparkSession, d: str) -> DataFrame:
     """Routes that write state in their reachable scope and have no guard there: routes, semi-join, anti-join."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     orders, lines, parts = (table(spark, d, t) for t in ("orders", "lineitem", "part"))
-    routes = orders.where("o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT'").select(name("O:", "o_orderkey").alias("route"), "o_custkey", "o_orderkey")
-    scope = lines.select("l_orderkey", "l_partkey", "l_returnflag")
-    writes = scope.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    guards = scope.join(parts.where("p_size >= 40").select(F.col("p_partkey").alias("l_partkey")), "l_partkey").select(F.col("l_orderkey").alias("o_orderkey"))
-    return routes.join(writes, "o_orderkey", "left_semi").join(guards, "o_orderkey", "left_anti").select("route", "o_custkey")
+    routes = orders.where("o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT'").select(name("O:", "o_orderkey").alias("owner"), "o_custkey")
+    scope = lines.select(name("O:", "l_orderkey").alias("owner"), F.lit("reachable").alias("scope"), F.concat(name("P:", "l_partkey"), F.lit("/"), F.col("l_returnflag")).alias("function"))
+    writes = scope.where("function LIKE '%/R'").select("function")
+    big = parts.where("p_size >= 40").select(F.explode(F.array(*(F.concat(name("P:", "p_partkey"), F.lit(f"/{flag}")) for flag in "ANR"))).alias("function"))
+    hit = scopes.with_any(routes, scope, writes, "reachable")
+    return scopes.without(hit, scope, big, "reachable").select(F.col("owner").alias("route"), "o_custkey")
 
 
 @query("SELECT 'big-tax' AS rule_id, l_orderkey, CAST(count(*) AS BIGINT) AS n_evidence, min(l_linenumber) AS first_line FROM lineitem WHERE l_tax >= 0.07 GROUP BY l_orderkey")
@@ -514,14 +515,14 @@ def rule_request_inputs(spark: SparkSession, d: str) -> DataFrame:
 def exception_guard_last_call(spark: SparkSession, d: str) -> DataFrame:
     tries = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
     calls = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
-    return tries.join(calls, "o_orderkey").groupBy("o_orderkey").agg(F.max(F.struct("l_linenumber", "l_partkey")).getField("l_partkey").alias("guarded_call"))
+    return exceptions.last_of(tries.join(calls, "o_orderkey"), ["o_orderkey"], "l_linenumber", "l_partkey").withColumnRenamed("l_partkey", "guarded_call")
 
 
 @query("SELECT o_orderkey, arg_min(l_partkey, struct_pack(l := l_linenumber, p := l_partkey)) AS rejection FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1")
 def swallowed_rejection_first_raise(spark: SparkSession, d: str) -> DataFrame:
     raises = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
     raises = raises.join(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
-    return raises.groupBy("o_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey")).getField("l_partkey").alias("rejection"))
+    return exceptions.first_of(raises, ["o_orderkey"], "l_linenumber", "l_partkey").withColumnRenamed("l_partkey", "rejection")
 
 
 # --- patterns and scopes --------------------------------------------------------------------------------------
@@ -533,7 +534,7 @@ _PATTERNS = "SELECT DISTINCT 'p' || CAST(s_suppkey % 20 AS STRING) AS pattern, '
 @query(f"""WITH c AS (SELECT *, CASE WHEN callee LIKE 'web.%' THEN 'flask' || substring(callee, 4) ELSE callee END AS canonical FROM ({_CALLS.format("lineitem")})), p AS ({_PATTERNS.format("supplier")}),
 m AS (SELECT site, callee, canonical, pattern, fqn, 'exact' AS how FROM c JOIN p ON canonical = fqn
   UNION ALL SELECT site, callee, canonical, pattern, fqn, 'name' FROM c JOIN p ON 'flask.' || canonical = fqn WHERE NOT contains(canonical, '.'))
-SELECT * FROM m WHERE how = 'exact' OR site NOT IN (SELECT site FROM m WHERE how = 'exact')""")
+SELECT * FROM m WHERE how = 'exact' OR NOT EXISTS (SELECT 1 FROM m x WHERE x.site = m.site AND x.how = 'exact')""")
 def pattern_call_matches(spark: SparkSession, d: str) -> DataFrame:
     calls = spark.sql(_CALLS.format("{lineitem}"), lineitem=table(spark, d, "lineitem"))
     known = spark.sql(_PATTERNS.format("{supplier}"), supplier=table(spark, d, "supplier"))
@@ -575,7 +576,7 @@ def scope_members_by_kind(spark: SparkSession, d: str) -> DataFrame:
     hooks = table(spark, d, "nation").where("n_nationkey = 3").select(F.concat(F.lit("N:"), F.col("n_nationkey").cast("string")).alias("hook"), F.lit("BUILDING").alias("group"))
     hooks = hooks.union(spark.sql("SELECT 'X:0', CAST(NULL AS STRING)"))
     found = scopes.members(owners, view(spark, d, "dag"), hooks, 2)
-    return found.groupBy("owner", "scope").agg(F.countDistinct("function").alias("n_functions"))
+    return scopes.counted(found)
 
 
 _LABELLED = f"l AS (SELECT DISTINCT graph, src, dst, CASE WHEN ascii(dst) % 2 = 0 THEN 'true' ELSE 'false' END AS label FROM {sql_of('control')} x)"

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import queries_facts, queries_patterns, queries_values  # noqa: F401  they register their queries
 from .plans.queries import ORACLE, QUERIES
 
 FLAGSHIP = "guardless_open_orders"
