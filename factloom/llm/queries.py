@@ -14,6 +14,7 @@ from .common import Scratch, documents
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats all conversations and one of control strings; every column is read back from the formatted string and its mask."""
     own = "SELECT -1L AS conv_id, n AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(n, role)"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(spark.sql(own))
     out = chat_format.format_chats(rows)
@@ -48,6 +49,7 @@ FROM e GROUP BY conv_id
 
 
 def op2_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts each text by profiles of the documents that are not held out; a null language teaches nothing."""
     docs = documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = langid.train(docs.where(~held_out), "lang", "text")
@@ -56,6 +58,7 @@ def op2_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at a similarity of 0.85; null ids are one document that comes last."""
     return near_dedup.near_dedup(documents(spark, sf_dir), words=5, percent=85)
 
 
@@ -76,6 +79,7 @@ SELECT n.doc_id, n.n AS n_shingles, min(other) AS component_id, n.doc_id = min(o
 
 
 def op4_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every whole text; ``spans`` lists those that the method adds as well, by kind, then start."""
     found = pii.find_pii(documents(spark, sf_dir))
     of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -85,12 +89,14 @@ def op4_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the bytes that they decode to; a null text has none."""
     coded = bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     n = F.floor(F.octet_length("ids") / 4).alias("n_tokens")
     return coded.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards whose counts differ by one at most; null ids go by size and text."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     out = ring.shard_by_ring(documents(spark, sf_dir), "doc_id", {"size": size, "text_crc32": crc}, shards=16)
@@ -98,10 +104,12 @@ def op6_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents, each task its own rows in the order of its input split, so another split packs otherwise."""
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1)
 
 
 def op8_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts equal without white space; a null text is empty, and of equal rows one is kept."""
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
@@ -115,11 +123,13 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 
 
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the strings of 100 bytes that start earlier; repeated ids are documents of their own."""
     found = repeats.remove_repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
 def op10_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores every text as an image, refers to it from a page, and computes features from the image as stored."""
     docs = documents(spark, sf_dir).select("doc_id", media.padded(F.col("text")).alias("payload"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
     # Each document is a page with one figure; its caption carries the unpadded length.
     figure = '<article><p>document</p><figure><img src="%s%s"><figcaption>%s bytes</figcaption></figure></article>'
