@@ -55,7 +55,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
 def _shared(spark: SparkSession) -> str:
     from .operators.graph import _shared as shared
 
-    return shared(spark)
+    return shared(spark, "scan")
 
 
 if __name__ == "__main__":

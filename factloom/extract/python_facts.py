@@ -1,112 +1,15 @@
-"""Facts from Python source: one narrow pass over (file, source) rows with the standard parser."""
+"""Flat facts from Python source: the rows that a repository's relations are derived from."""
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: One row per fact; the columns that a family does not use are null.
 SCHEMA = "family string, file string, line int, column int, fqn string, name string, owner string, target string, detail string, flag boolean"
-_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-
-
-def _dotted(node: ast.AST) -> str | None:
-    parts: list[str] = []
-    while isinstance(node, ast.Attribute):
-        parts.append(node.attr)
-        node = node.value
-    return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
-
-
-class _Facts(ast.NodeVisitor):
-    """Walks a module and notes functions, classes, decorators, imports, calls, attributes, assignments and returns."""
-
-    def __init__(self, file: str) -> None:
-        self.file = file
-        module = file.removesuffix(".py").removesuffix("/__init__").replace("/", ".")
-        self.stack, self.kinds, self.rows = [module], ["module"], []
-
-    def note(self, family: str, node: ast.AST, fqn=None, name=None, target=None, detail=None, flag=None) -> None:
-        owner = ".".join(self.stack) if self.kinds[-1] != "module" else "<module>"
-        self.rows.append((family, self.file, getattr(node, "lineno", None), getattr(node, "col_offset", None), fqn, name, owner, target, detail, flag))
-
-    def _scope(self, node, family: str, kind: str, detail: str) -> None:
-        fqn = ".".join([*self.stack, node.name])
-        self.note(family, node, fqn, node.name, detail=detail, flag=self.kinds[-1] == "class")
-        for d in node.decorator_list:
-            call = d.func if isinstance(d, ast.Call) else d
-            given = ", ".join([*map(ast.unparse, d.args), *(f"{k.arg}={ast.unparse(k.value)}" for k in d.keywords)]) if isinstance(d, ast.Call) else ""
-            self.note("decorators", d, _dotted(call), (_dotted(call) or "").rpartition(".")[2] or None, target=fqn, detail=given)
-            self.visit(d)
-        self.stack.append(node.name)
-        self.kinds.append(kind)
-        for part in [*(node.args.defaults if kind == "function" else node.bases), *node.body]:
-            self.visit(part)
-        self.stack.pop()
-        self.kinds.pop()
-
-    def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
-        self._scope(node, "functions", "function", ",".join(a.arg for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]))
-
-    def visit_AsyncFunctionDef(self, node: ast.AsyncFunctionDef) -> None:
-        self.visit_FunctionDef(node)  # type: ignore[arg-type]
-
-    def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        self._scope(node, "classes", "class", ",".join(_dotted(b) or "?" for b in node.bases))
-
-    def visit_Import(self, node: ast.Import) -> None:
-        for a in node.names:
-            self.note("imports", node, a.name, a.asname or a.name, flag=False)
-
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        for a in node.names:
-            self.note("imports", node, f"{'.' * node.level}{node.module or ''}.{a.name}".lstrip(".") if not node.level else f"{'.' * node.level}{node.module or ''}.{a.name}", a.asname or a.name, flag=True)
-
-    def visit_Call(self, node: ast.Call) -> None:
-        called = _dotted(node.func)
-        self.note("call_edges", node, called, (called or "").rpartition(".")[2] or None, detail=",".join(ast.unparse(a) for a in node.args))
-        self.generic_visit(node)
-
-    def visit_Attribute(self, node: ast.Attribute) -> None:
-        self.note("attributes", node, _dotted(node), node.attr, target=ast.unparse(node.value), flag=isinstance(node.ctx, ast.Store))
-        self.generic_visit(node)
-
-    def visit_Assign(self, node: ast.Assign) -> None:
-        for t in node.targets:
-            self.note("value_flow_edges", node, name=ast.unparse(node.value), target=ast.unparse(t), detail="chain" if len(node.targets) > 1 else "assign")
-        self.generic_visit(node)
-
-    def visit_Return(self, node: ast.Return) -> None:
-        if node.value is not None:
-            self.note("value_flow_edges", node, name=ast.unparse(node.value), target="return", detail="return")
-        self.generic_visit(node)
-
-
-def facts_of(file: str, source: str) -> list[tuple]:
-    """All facts of a file in source order; a file that does not parse is one row of family ``errors``."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError) as e:
-        return [("errors", file, getattr(e, "lineno", None), None, None, type(e).__name__, None, None, str(e), True)]
-    walk = _Facts(file)
-    walk.visit(tree)
-    return walk.rows
 
 
 def extract(files: DataFrame, file: str = "file", source: str = "source") -> DataFrame:
-    """Facts of all files (a null source counts as empty); rows of one file stay together and in order."""
-    rows = files.select(F.col(file), F.coalesce(F.col(source), F.lit("")))
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.bool_()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                found = [r for f, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in facts_of(f or "", s)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=_NAMES)
+    """Facts of all files (a null source counts as empty): the flat view of the families that an index holds."""
+    from ..plans.index import Index
 
-    return rows.mapInArrow(run, SCHEMA)
+    return Index.of_sources(files, file, source).flat()

@@ -100,7 +100,7 @@ class Index:
             rows("decorators", fqn=F.col("fqn"), name=F.col("name"), target=F.col("target_fqn"), detail=F.array_join(F.concat("args", keyworded), ", ")),
             rows("imports", df=imports, fqn=F.when(F.col("is_from_import"), F.concat("module", F.lit("."), "_name")).otherwise(F.col("module")), name=F.col("_alias"), flag=F.col("is_from_import")),
             rows("call_edges", fqn=F.coalesce(called, F.col("callee_fqn")), name=F.substring_index(F.coalesce(called, F.col("callee_fqn")), ".", -1), owner=F.col("caller_fqn"), target=F.col("callee_fqn"), detail=F.array_join(text, ",")),
-            rows("attributes", F.col("access_kind") != "CALL_MUTATOR", fqn=receiver, name=F.col("attr_name"), owner=caller("containing_function_fqn"), target=F.col("target_expr"), flag=F.col("is_write")),
+            rows("attributes", F.col("access_kind").isin("ATTR", "DEL"), fqn=receiver, name=F.col("attr_name"), owner=caller("containing_function_fqn"), target=F.col("target_expr"), flag=F.col("is_write")),
             rows("value_flow_edges", F.col("kind") != "TRANSFORM_INPUT", file=F.col("source_location.file"), line=F.col("source_location.line"), column=F.col("source_location.column"), name=F.col("source_expr"), owner=caller("containing_function_fqn"), target=F.col("target_expr"), detail=F.lower("kind")),
             rows("errors", file=F.col("file"), name=F.col("error_kind"), detail=F.col("message"), flag=F.col("is_fatal")),
         ]

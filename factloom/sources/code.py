@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..extract.python_facts import extract
+from ..extract.index_facts import extract_records
 from ..plans.catalogue import built_in
+from ..plans.index import Index
 from ..plans.repo import Repo
+from .cache import FactCache
+from .facts import schema_fingerprint
 
 #: Folders that hold no source of the project.
 PRUNED = (".git", ".hg", ".tox", ".venv", "venv", "env", "__pycache__", "node_modules", "build", "dist", "site-packages", ".mypy_cache", ".pytest_cache")
@@ -29,8 +32,25 @@ def read_sources(spark: SparkSession, root: str) -> DataFrame:
 
 def open_repo(spark: SparkSession, root: str, dimension: DataFrame | None = None) -> Repo:
     """The repository under a path, with the built-in patterns and the user's."""
-    known = built_in(spark)
-    return Repo(extract(read_sources(spark, root)), known if dimension is None else known.unionByName(dimension))
+    return _repo(Index.of_sources(read_sources(spark, root)), dimension)
+
+
+def open_artifacts(spark: SparkSession, folder: str, dimension: DataFrame | None = None) -> Repo:
+    """The repository whose fact families were written to a folder; the same queries, without its source."""
+    return _repo(Index.of_artifacts(spark, folder), dimension)
+
+
+def open_cached(spark: SparkSession, root: str, cache: str, dimension: DataFrame | None = None) -> Repo:
+    """The repository under a path, extracted unless the cache has its content under the present schemas already."""
+    sources = read_sources(spark, root)
+    store = FactCache(spark, cache)
+    key = f"{content_hash(sources)}-{schema_fingerprint()}"
+    return _repo(store.get(key) or store.put(key, extract_records(sources)), dimension)
+
+
+def _repo(index: Index, dimension: DataFrame | None) -> Repo:
+    known = built_in(index.spark)
+    return Repo(index.flat(), known if dimension is None else known.unionByName(dimension))
 
 
 def manifest(sources: DataFrame) -> DataFrame:

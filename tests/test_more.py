@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.extract.python_facts import extract, facts_of
+from factloom.extract.python_facts import extract
 from factloom.operators import patterns, scopes
 from factloom.sources.facts import FAMILIES
 from factloom.streaming import incremental
@@ -23,24 +23,18 @@ async def top():
 '''
 
 
-def test_facts_of_a_file():
-    rows = facts_of("pkg/mod.py", SOURCE)
-    by = lambda family: [r for r in rows if r[0] == family]
-    assert [(r[4], r[8], r[9]) for r in by("functions")] == [("pkg.mod.A.go", "self,a,b", True), ("pkg.mod.top", "", False)]
-    assert [(r[4], r[8]) for r in by("classes")] == [("pkg.mod.A", "B.C")]
-    assert [(r[4], r[5], r[7]) for r in by("decorators")] == [("app.route", "route", "pkg.mod.A.go")]
-    assert [(r[4], r[5], r[9]) for r in by("imports")] == [("os.path", "p", False), (".m.f", "g", True)]
-    assert [(r[4], r[6]) for r in by("call_edges")] == [("app.route", "pkg.mod.A"), ("g", "pkg.mod.A.go"), ("helper", "pkg.mod.A.go")]
-    assert [(r[5], r[7], r[8]) for r in by("value_flow_edges")] == [("g(a)", "x", "chain"), ("g(a)", "y", "chain"), ("x", "self.seen", "assign"), ("helper(x)", "return", "return")]
-    assert ("seen", True) in [(r[5], r[9]) for r in by("attributes")]
-    assert facts_of("bad.py", "def (")[0][0] == "errors"
-
-
 def test_extract(spark):
     files = spark.createDataFrame([("pkg/mod.py", SOURCE), ("empty.py", None), ("bad.py", "def (")], "file string, source string")
-    got = extract(files)
-    assert got.where("family = 'errors'").count() == 1
-    assert got.where("file = 'pkg/mod.py'").count() == len(facts_of("pkg/mod.py", SOURCE))
+    rows = extract(files).collect()
+    by = lambda family, *names: sorted(tuple(r[n] for n in names) for r in rows if r["family"] == family)
+    assert by("functions", "fqn", "detail", "flag") == [("pkg.mod.A.go", "self,a,b", True), ("pkg.mod.top", "", False)]
+    assert by("classes", "fqn", "detail") == [("pkg.mod.A", "B.C")]
+    assert by("decorators", "fqn", "name", "target", "detail") == [("app.route", "route", "pkg.mod.A.go", "'/x', methods=['POST']")]
+    assert by("imports", "fqn", "name", "flag") == [("os.path", "p", False), ("pkg.m.f", "g", True)]
+    assert by("call_edges", "fqn", "owner") == [("app.route", "<module>"), ("g", "pkg.mod.A.go"), ("helper", "pkg.mod.A.go")]
+    assert by("value_flow_edges", "name", "target", "detail") == [("g(a)", "x", "chain"), ("g(a)", "y", "chain"), ("helper(x)", "return", "return"), ("x", "self.seen", "attribute_write")]
+    assert ("seen", True) in by("attributes", "name", "flag")
+    assert by("errors", "file", "flag") == [("bad.py", True)]
 
 
 def test_patterns(spark):
@@ -60,10 +54,14 @@ def test_scopes(spark):
     edges = spark.createDataFrame([("a", "x"), ("x", "y"), ("h", "z")], "src string, dst string")
     hooks = spark.createDataFrame([("h", "g"), ("k", None)], "hook string, group string")
     got = scopes.members(owners, edges, hooks)
-    full = sorted((r["owner"], r["function"]) for r in got.where("scope = 'full_stack'").collect())
-    assert full == [("r1", f) for f in "ahkxyz"] + [("r2", "b"), ("r2", "k")]
-    checks = spark.createDataFrame([("z",)], "function string")
-    assert [r["owner"] for r in scopes.without(owners, got, checks).collect()] == ["r2"]
+    full = {(r["owner"], r["function"]) for r in got.where("scope = 'full_stack'").collect()}
+    assert full == {("r1", f) for f in "ahxyz"} | {("r2", "b"), (None, "k")}  # k belongs to all owners and is told once
+    assert {r["owner"]: r["n_functions"] for r in scopes.counted(got).where("scope = 'full_stack'").collect()} == {"r1": 6, "r2": 2}
+    some, every, none = (spark.createDataFrame([(f,)], "function string") for f in "zkq")
+    names = lambda df: sorted(r["owner"] for r in df.select("owner").collect())
+    assert names(scopes.without(owners, got, some)) == ["r2"] and names(scopes.with_any(owners, got, some, "full_stack")) == ["r1"]
+    assert names(scopes.without(owners, got, every)) == [] and names(scopes.with_any(owners, got, every, "full_stack")) == ["r1", "r2"]
+    assert names(scopes.without(owners, got, none)) == ["r1", "r2"]
 
 
 def test_stream_replaces_files(spark, tmp_path):
