@@ -132,6 +132,54 @@ ROWS = (
     ("stdlib", "urllib", "call", "urllib.request.urlopen", "effect", "outbound"),
     ("pyyaml", "yaml", "call", "yaml.load", "sink", "deserialise"),
     ("jinja2", "jinja2", "call", "jinja2.Template", "sink", "template"),
+    ("argon2-cffi", "argon2", "call", "argon2.PasswordHasher.verify", "check", "comparison"),
+    ("authlib", "authlib", "call", "authlib.jose.jwt.decode", "check", "token"),
+    ("cryptography", "cryptography", "call", "cryptography.fernet.Fernet.decrypt", "check", "token"),
+    ("defusedxml", "defusedxml", "call", "defusedxml.ElementTree.parse", "check", "xml"),
+    ("defusedxml", "defusedxml", "call", "defusedxml.ElementTree.fromstring", "check", "xml"),
+    ("django-allauth", "allauth", "decorator", "allauth.account.decorators.verified_email_required", "check", "authentication"),
+    ("django-cors-headers", "corsheaders", "call", "corsheaders.signals.check_request_enabled.connect", "exemption", "origin"),
+    ("falcon", "falcon", "decorator", "falcon.before", "hook", "before"),
+    ("falcon", "falcon", "decorator", "falcon.after", "hook", "after"),
+    ("falcon", "falcon", "call", "falcon.HTTPForbidden", "check", "denial"),
+    ("falcon", "falcon", "call", "falcon.HTTPUnauthorized", "check", "denial"),
+    ("flask-allows", "flask_allows", "decorator", "flask_allows.requires", "check", "authorization"),
+    ("flask-cors", "flask_cors", "decorator", "flask_cors.cross_origin", "exemption", "origin"),
+    ("flask-restful", "flask_restful", "call", "flask_restful.abort", "check", "denial"),
+    ("flask-restful", "flask_restful", "call", "flask_restful.reqparse.RequestParser.parse_args", "input", "json"),
+    ("flask-restx", "flask_restx", "call", "flask_restx.abort", "check", "denial"),
+    ("flask-restx", "flask_restx", "call", "flask_restx.reqparse.RequestParser.parse_args", "input", "json"),
+    ("flask-session", "flask_session", "call", "flask_session.Session", "effect", "config_write"),
+    ("flask-talisman", "flask_talisman", "call", "flask_talisman.Talisman", "check", "headers"),
+    ("litestar", "litestar", "decorator", "litestar.get", "route", "GET"),
+    ("litestar", "litestar", "decorator", "litestar.post", "route", "POST"),
+    ("litestar", "litestar", "decorator", "litestar.put", "route", "PUT"),
+    ("litestar", "litestar", "decorator", "litestar.patch", "route", "PATCH"),
+    ("litestar", "litestar", "decorator", "litestar.delete", "route", "DELETE"),
+    ("oauthlib", "oauthlib", "call", "oauthlib.oauth2.WebApplicationClient.parse_request_body_response", "input", "claims"),
+    ("peewee", "peewee", "call", "peewee.Model.create", "effect", "db_write"),
+    ("peewee", "peewee", "call", "peewee.Model.save", "effect", "db_write"),
+    ("peewee", "peewee", "call", "peewee.Model.delete_instance", "effect", "db_delete"),
+    ("peewee", "peewee", "call", "peewee.SQL", "sink", "sql"),
+    ("psycopg2", "psycopg2", "call", "psycopg2.connect", "effect", "db_read"),
+    ("psycopg2", "psycopg2", "call", "psycopg2.extensions.cursor.execute", "sink", "sql"),
+    ("pycasbin", "casbin", "call", "casbin.Enforcer.enforce", "check", "authorization"),
+    ("pydantic", "pydantic", "call", "pydantic.BaseModel.model_validate", "check", "schema"),
+    ("pydantic", "pydantic", "call", "pydantic.TypeAdapter.validate_python", "check", "schema"),
+    ("pymysql", "pymysql", "call", "pymysql.connect", "effect", "db_read"),
+    ("pymysql", "pymysql", "call", "pymysql.cursors.Cursor.execute", "sink", "sql"),
+    ("pyramid", "pyramid", "decorator", "pyramid.view.view_config", "route", "GET"),
+    ("pyramid", "pyramid", "call", "pyramid.httpexceptions.HTTPForbidden", "check", "denial"),
+    ("pyramid", "pyramid", "call", "pyramid.httpexceptions.HTTPFound", "sink", "redirect"),
+    ("secure-py", "secure", "call", "secure.Secure", "check", "headers"),
+    ("sqlmodel", "sqlmodel", "call", "sqlmodel.Session.add", "effect", "db_write"),
+    ("sqlmodel", "sqlmodel", "call", "sqlmodel.Session.delete", "effect", "db_delete"),
+    ("sqlmodel", "sqlmodel", "call", "sqlmodel.text", "sink", "sql"),
+    ("tornado", "tornado", "decorator", "tornado.web.authenticated", "check", "authentication"),
+    ("tornado", "tornado", "call", "tornado.web.RequestHandler.get_argument", "input", "query"),
+    ("tornado", "tornado", "call", "tornado.web.RequestHandler.get_body_argument", "input", "form"),
+    ("tornado", "tornado", "call", "tornado.web.RequestHandler.get_cookie", "input", "cookie"),
+    ("tornado", "tornado", "call", "tornado.web.RequestHandler.redirect", "sink", "redirect"),
 )
 
 
