@@ -25,9 +25,9 @@ PROFILE = 300
 #: Languages that a model may have.
 LANGUAGES = 2_000
 #: Distinct n-grams of a language that a task holds before it hands on its sums.
-HOLD = 2_000_000
+HOLD = 500_000
 #: Code points of a text that are counted at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _NO_LETTER = re.compile(r"[\W\d_]")
 _BITS = 21  # a code point; three fit into a 64-bit key
 
@@ -67,10 +67,11 @@ def ngram_keys(text: str) -> np.ndarray:
     keep[:1] = True
     np.logical_or(codes[1:] != 0, codes[:-1] != 0, out=keep[1:])
     c = codes[keep].astype(np.int64)
+    letter = c != 0
+    c[~letter] = 1  # the space, so that n-grams with it in front differ from shorter ones
     two = (c[:-1] << _BITS) | c[1:]
     three = (two[:-1] << _BITS) | c[2:]
-    mid = c[1:-1] != 0  # no n-gram goes across a word's end
-    return np.concatenate([c[c != 0], two, three[mid]])
+    return np.concatenate([c[letter], two, three[letter[1:-1]]])  # no n-gram goes across a word's end
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ def documents():
 
 def grams(text):
     """n-grams of 1 to 3 letters, words padded with a space; the keys that ``langid`` orders ties by."""
-    key = lambda g: sum((0 if c == " " else ord(c)) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    key = lambda g: sum((1 if c == " " else ord(c)) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
     found, word = Counter(), ""
     lowered = "".join(c if c.isalpha() else " " for c in text.lower())
     for word in lowered.split():
