@@ -39,6 +39,8 @@ COORDINATES = 64
 TREES, BRANCHES, LEVELS = 12, 2, 6
 #: Members of a node that is compared exhaustively; members and shingles of a group whose full sets are.
 NODE, CLUSTER, ELEMENTS = 4096, 4096, 1_000_000
+#: Elements, and sets, whose incidences are multiplied at once.
+TILE = 1024
 #: Members of a node too large for a group that meet all its blocks.
 PIVOTS = 16
 #: Rows up to which the list of documents to verify is broadcast (16 bytes each); beyond, it is joined by a shuffle.
@@ -392,14 +394,16 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
     row, column = row[order], column[order]
     dense = count[count > 1] > max(8, len(sets) // 32)
     place = np.cumsum(dense) - 1
-    # Frequent elements: products of incidence matrices, some thousand elements at a time.
+    # Frequent elements: products of incidence matrices, some hundred elements and rows at a time.
     wide = dense[column] if columns else np.zeros(0, bool)
     r, c = row[wide], place[column[wide]]
-    for at in range(0, int(place[-1]) + 1 if columns else 0, 4096):
-        lo, hi = np.searchsorted(c, [at, at + 4096])
-        block = np.zeros((len(sets), 4096), np.float32)
+    for at in range(0, int(place[-1]) + 1 if columns else 0, TILE):
+        lo, hi = np.searchsorted(c, [at, at + TILE])
+        block = np.zeros((len(sets), TILE), np.float32)
         block[r[lo:hi], c[lo:hi] - at] = 1
-        np.add(common, block @ block.T, out=common, casting="unsafe")  # a product counts to 4096 at most
+        for top in range(0, len(sets), TILE):
+            part = common[top : top + TILE]
+            np.add(part, block[top : top + TILE] @ block.T, out=part, casting="unsafe")  # a product counts to TILE at most
     # Rare elements: the few pairs of sets that each one is in.
     r, c = row[~wide], column[~wide]
     flat = common.reshape(-1)

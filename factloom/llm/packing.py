@@ -29,7 +29,7 @@ SHIFT = 33
 #: Open windows that a task holds at most.
 OPEN = 4096
 #: Words whose ids a worker remembers: so many of the newest, and as many older ones.
-REMEMBER = 150_000
+REMEMBER = 75_000
 
 
 #: What the quick way leaves to the library (white space beyond ASCII's common kinds, a capital whose
@@ -250,8 +250,8 @@ def pack(df: DataFrame, path: str, size: int = 2048, end_id: int = 1, key: str =
             n = 0
             for batch in batches:
                 key_type[:] = [batch.schema.field(0).type]
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
                     for k, ids in zip(part.column(0).to_pylist(), made.ids_of(part.column(1)), strict=True):
                         ids += end
                         total = len(ids) // 4
