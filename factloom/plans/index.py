@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..extract import index_facts
 from ..extract.python_facts import SCHEMA
 from ..operators import hierarchy
+from ..operators.graph import Levels
 from ..operators.relations import AttributeFacts, ClassFacts, DecoratorFacts, ErrorFacts, FlowFacts, FunctionFacts, ImportFacts, SymbolFacts
 from ..sources import facts as source
 
@@ -30,8 +31,12 @@ class Index:
 
     @classmethod
     def of_sources(cls, files: DataFrame, file: str = "file", text: str = "source") -> Index:
-        """Extracts all families in one pass over (file, source) rows; hierarchies are completed by name."""
-        records = index_facts.extract_records(files, file, text)
+        """Extracts all families in one pass over (file, source) rows. The records are written to the shared folder, by family, so
+        that no relation parses a file again; ``completed`` fills in the hierarchies."""
+        spark = files.sparkSession
+        at = Levels(spark, "facts").at
+        index_facts.extract_records(files, file, text).write.partitionBy("family").parquet(at)
+        records = spark.read.schema(index_facts.SCHEMA).parquet(at)
         families = {f: index_facts.family(records, f).drop("ord") for f in source.FAMILIES}
         return cls(files.sparkSession, families)
 

@@ -1,5 +1,5 @@
 """A repository's facts as derived relations: from extracted facts and a pattern dimension to routes, reads, effects,
-checks, sinks, scopes and gaps. Every relation is a lazy frame; nothing is collected."""
+checks, sinks, scopes and gaps. Nothing is collected; relations that many others read are written to the shared folder once."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dotted_prefixes, owner_of
 from ..operators import patterns, scopes
-from ..operators.graph import closure
+from ..operators.graph import Levels, closure
 from ..operators.joins import unique_suffix
 
 #: Levels of calls that a reachable scope follows.
@@ -23,6 +23,9 @@ class Repo:
     def __init__(self, facts: DataFrame, dimension: DataFrame):
         self.facts, self.dimension = facts, dimension
 
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return Levels(self.facts.sparkSession, "repo").keep(df)
+
     def family(self, name: str) -> DataFrame:
         return self.facts.where(F.col("family") == name)
 
@@ -47,7 +50,7 @@ class Repo:
         made = made.where("_call != '' AND alias RLIKE '^[A-Za-z_][A-Za-z0-9_]*$'").withColumn("_head", F.substring_index("_call", ".", 1))
         known = imported.select("file", F.col("alias").alias("_head"), F.col("target").alias("_target"))
         resolved = made.join(known, ["file", "_head"]).select("file", "alias", F.concat("_target", F.expr("substring(_call, length(_head) + 1)")).alias("target"))
-        return imported.union(resolved).groupBy("file", "alias").agg(F.min("target").alias("target"))
+        return self._kept(imported.union(resolved).groupBy("file", "alias").agg(F.min("target").alias("target")))
 
     def canonical(self, rows: DataFrame, name: str = "fqn") -> DataFrame:
         """With ``canonical``: the name with its longest alias of the file rewritten, once per distinct name of a file."""
@@ -72,7 +75,7 @@ class Repo:
         inside = F.when(F.col("owner") == "<module>", module).otherwise(F.col("owner"))
         observed = site("call_edges", "call", inside, F.col("detail")).union(site("decorators", "decorator", F.col("target"), F.col("detail"))).union(site("attributes", "attribute", inside, F.lit(None).cast("string")))
         dimension = self.providers.select("kind", F.col("fqn").alias("canonical"), "pattern", "provider", "gives", F.col("detail").alias("detail"))
-        return self.canonical(observed).join(dimension, ["kind", "canonical"])
+        return self._kept(self.canonical(observed).join(dimension, ["kind", "canonical"]))
 
     @cached_property
     def routes(self) -> DataFrame:
@@ -100,13 +103,13 @@ class Repo:
         own = F.when(F.col("canonical").startswith("self."), F.concat(owner_of(F.col("src")), F.expr("substring(canonical, 5)"))).otherwise(selfless)
         named = calls.select("src", own.alias("fqn")).where("src != '<module>' AND fqn IS NOT NULL").distinct()
         resolved = unique_suffix(named, self.functions).select("src", F.col("canonical").alias("dst"))
-        return resolved.join(self.functions.select(F.col("fqn").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        return self._kept(resolved.join(self.functions.select(F.col("fqn").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
 
     @cached_property
     def scope(self) -> DataFrame:
         """``owner`` (route), ``scope``, ``function``."""
         owners = self.routes.select(F.col("route").alias("owner"), "handler", F.lit(None).cast("string").alias("group"))
-        return scopes.members(owners, self.call_edges, self.hooks, DEPTH)
+        return self._kept(scopes.members(owners, self.call_edges, self.hooks, DEPTH))
 
     def in_scope(self, facts: DataFrame, kind: str = "reachable") -> DataFrame:
         return scopes.facts_in(self.scope.where(F.col("scope") == kind), facts)
