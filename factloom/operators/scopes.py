@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import closure
+from .relations import uses
+from .selectors import Effect, Fn, Source
 
 
 def members(owners: DataFrame, edges: DataFrame, hooks: DataFrame, max_depth: int = 5) -> DataFrame:
@@ -65,3 +67,54 @@ def without(owners: DataFrame, scope: DataFrame, checks: DataFrame, kind: str =
     some = owners.join(hits.where("owner IS NOT NULL"), "owner", "left_anti")
     shared = hits.where("owner IS NULL").agg(F.count(F.lit(1)).alias("_shared"))  # one row
     return some.withColumn("_shared", F.lit(0).cast("bigint")).join(F.broadcast(shared), "_shared", "left_semi").drop("_shared")
+
+
+#: Containers whose reads say who asks, not what; a plain question for reads leaves them out.
+IDENTITY = ("session", "framework_global")
+
+
+class ScopeView:
+    """What happens in one kind of scope: members joined with facts by function, filtered by selectors.
+
+    ``scope``: rows of ``members``; facts by relation name (conditions, predicates, checks, reads, effects, calls, sinks, ...), each with
+    ``function``. A null ``owner`` in an answer stands for all owners.
+    """
+
+    def __init__(self, scope: DataFrame, kind: str, facts: dict[str, DataFrame]):
+        self.members = scope.where(F.col("scope") == kind)
+        self.facts = facts
+
+    def of(self, relation: str, where: Column | None = None) -> DataFrame:
+        """The relation's facts in the scope: decorators, generated URLs, validated values, guards, disagreements, gaps and the like."""
+        rows = self.facts[relation]
+        return facts_in(self.members, rows if where is None else rows.where(where))
+
+    def functions(self) -> DataFrame:
+        return self.members.select("owner", "function").distinct()
+
+    def conditions(self, using: str | None = None) -> DataFrame:
+        return self.of("conditions", None if using is None else uses("expression", using))
+
+    def predicates(self) -> DataFrame:
+        return self.of("predicates")
+
+    def checks(self, category: str | None = None) -> DataFrame:
+        """All checks, or those of a category; ``a|b`` belongs to both of its parts."""
+        return self.of("checks", None if category is None else F.array_contains(F.split("category", r"\|"), category))
+
+    def reads(self, source: Source | None = None) -> DataFrame:
+        """Reads of a source; without one, all that don't say who asks."""
+        return self.of("reads", ~F.col("container").isin(*IDENTITY) if source is None else source.matches())
+
+    def effects(self, selector: Effect | None = None) -> DataFrame:
+        return self.of("effects", None if selector is None else selector.matches())
+
+    def calls(self, selector: Fn | None = None) -> DataFrame:
+        return self.of("calls", None if selector is None else selector.matches("name", "fqn"))
+
+    def sinks(self, kind: str | None = None) -> DataFrame:
+        return self.of("sinks", None if kind is None else F.col("kind") == kind)
+
+    def restricted(self, blocks: DataFrame, relation: str) -> DataFrame:
+        """The relation's facts in the scope whose block (``function``, ``block``) is among those given: a branch of it."""
+        return self.of(relation).join(blocks.select("function", "block").distinct(), ["function", "block"], "left_semi")

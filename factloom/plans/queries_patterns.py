@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import derive, descriptors, hierarchy
+from ..operators import derive, descriptors, hierarchy, scopes, vocabulary
 from ..operators.descriptors import Descriptor, Provider
+from ..operators.selectors import Source
 from .queries import query
 from .queries_facts import _LINES, _classes, _methods, _plain, _sql
 from .views import table
@@ -367,3 +370,46 @@ SELECT DISTINCT l_suppkey, {_LATE.format("")}, 2 FROM lineitem a WHERE l_returnf
 def reads_added_once(spark: SparkSession, d: str) -> DataFrame:
     rows = lambda flag, side: table(spark, d, "lineitem").where(F.col("l_returnflag") == flag).select("l_suppkey", F.when(F.col("l_linenumber") > 2, F.col("l_linenumber")).alias("line"), F.lit(side).alias("side"))
     return derive.added_once(rows("R", 1).distinct(), rows("A", 2), ["l_suppkey", "line"]).na.fill(-1, ["line"])
+
+
+# --- scopes and named selectors -----------------------------------------------------------------------------------
+
+_AREAS = ("db_read", "db_write", "db_delete", "file_write", "cache_read", "state_write", "response_write")
+_EFFECTS = "SELECT l_orderkey * 10 + l_linenumber AS id, 'o' || CAST(l_orderkey AS STRING) AS function, CASE l_suppkey % 7 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(_AREAS)) + " END AS category, l_returnflag AS key, CAST(l_linenumber AS INT) AS scope FROM {lineitem}"
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS selector, id FROM {_plain(_EFFECTS, 'lineitem')} e WHERE {test}" for n, test in {
+    "mutation.persistent": "category IN ('db_write', 'db_delete', 'file_write', 'state_write')", "data.read": "category IN ('db_read', 'cache_read')", "db.any": "category IN ('db_read', 'db_write', 'db_delete')",
+    "response.write": "category = 'response_write' AND key = 'R'", "state.write": "category = 'state_write' AND (scope & 4) <> 0"}.items()))
+def named_effect_selectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = _sql(spark, d, _EFFECTS, "lineitem")
+    chosen = {"mutation.persistent": {}, "data.read": {}, "db.any": {}, "response.write": {"key": "R"}, "state.write": {"scope": 4}}
+    parts = [rows.where(vocabulary.effect(n, **more).matches()).select(F.lit(n).alias("selector"), "id") for n, more in chosen.items()]
+    return reduce(DataFrame.union, parts)
+
+
+_NAMED = "SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_suppkey % 5 WHEN 0 THEN 'jwt.decode' WHEN 1 THEN 'app.check_password' WHEN 2 THEN 'unicodedata.normalize' WHEN 3 THEN 'str.lower' ELSE 'app.other' END AS fqn FROM {lineitem}"
+
+
+@query(f"""SELECT id, CASE fqn WHEN 'jwt.decode' THEN 'token' WHEN 'app.check_password' THEN 'compare' ELSE 'normalise' END AS what FROM {_plain(_NAMED, "lineitem")} n WHERE fqn <> 'app.other'""")
+def named_function_selectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = _sql(spark, d, _NAMED, "lineitem").withColumn("name", F.substring_index("fqn", ".", -1))
+    what = F.when(vocabulary.function("token.verify").matches(), "token").when(vocabulary.function("crypto.compare").matches(), "compare").when(vocabulary.normalising().matches(), "normalise")
+    return rows.select("id", what.alias("what")).where("what IS NOT NULL")
+
+
+_SCOPE = "SELECT 'c' || CAST(o_custkey AS STRING) AS owner, 'reachable' AS scope, 'o' || CAST(o_orderkey AS STRING) AS function FROM {orders}"
+_INSIDE = "SELECT 'o' || CAST(l_orderkey AS STRING) AS function, CASE l_suppkey % 4 WHEN 0 THEN 'query' WHEN 1 THEN 'form' WHEN 2 THEN 'session' ELSE 'header' END AS container, 'k' || CAST(l_partkey % 5 AS STRING) AS key, l_returnflag || '|' || l_linestatus AS category, 's' || CAST(l_suppkey AS STRING) || ' > 3' AS expression, 's' || CAST(l_suppkey AS STRING) AS left_side, CAST(l_linenumber % 3 AS STRING) AS block FROM {lineitem}"
+_TESTS = {
+    "reads": "container <> 'session'", "session": "container = 'session'", "query": "container = 'query'", "checks": "list_contains(string_split(category, '|'), 'O')", "using": "left_side = 's7' OR contains(expression, 's7')", "branch": "block = '1'",
+}
+
+
+@query(f"WITH s AS {_plain(_SCOPE, 'orders')}, f AS {_plain(_INSIDE, 'lineitem')} " + " UNION ALL ".join(f"SELECT '{n}' AS question, owner, count(*) AS n FROM s JOIN f ON f.function = s.function WHERE {test} GROUP BY owner" for n, test in _TESTS.items()))
+def scope_questions(spark: SparkSession, d: str) -> DataFrame:
+    facts = _sql(spark, d, _INSIDE, "lineitem").withColumnRenamed("left_side", "left").withColumn("right", F.lit("3"))
+    seen = scopes.ScopeView(_sql(spark, d, _SCOPE, "orders"), "reachable", {"reads": facts, "checks": facts, "conditions": facts})
+    chosen = facts.where("block = '1'").select("function", "block")
+    parts = {"reads": seen.reads(), "session": seen.reads(Source("session")), "query": seen.reads(Source("query", (("key", None),))), "checks": seen.checks("O"), "using": seen.conditions("s7"), "branch": seen.restricted(chosen, "checks")}
+    counted = [df.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("question"), "owner", "n") for n, df in parts.items()]
+    return reduce(DataFrame.union, counted)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib.util
+import inspect
+import pathlib
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -62,6 +65,41 @@ def run(repo: Repo, detectors: Iterable[Detector]) -> DataFrame:
     return findings.first_of_each(found.withColumn("ord", order))
 
 
+def described(detectors: Iterable[Detector]) -> list[dict[str, str]]:
+    """Id, severity, description and origin of rules, in the order of their ids: what a listing shows of each."""
+    rows = [{"rule_id": d.rule_id, "severity": d.severity, "description": d.description, "origin": d.find.__module__} for d in detectors]
+    return sorted(rows, key=lambda r: r["rule_id"])
+
+
+def explained(rule_id: str) -> str:
+    """A rule's description, severity, and what its function says of itself; an unknown id is refused."""
+    if rule_id not in REGISTRY:
+        raise KeyError(f"{rule_id} is no rule")
+    d = REGISTRY[rule_id]
+    return "\n".join([f"{d.rule_id} ({d.severity}): {d.description}", *filter(None, [inspect.getdoc(d.find)])])
+
+
+def rule_files(folders: Iterable[str]) -> list[str]:
+    """Python files with rules in folders of the driver, sorted; names that begin with an underscore are none."""
+    return sorted(str(f) for folder in folders for f in pathlib.Path(folder).rglob("*.py") if not f.name.startswith("_"))
+
+
+def load_rules(files: Iterable[str]) -> list[str]:
+    """Runs rule files, whose ``detector`` calls register their rules; the ids that are new. A file that fails stops the scan."""
+    before = set(REGISTRY)
+    for n, file in enumerate(files):
+        spec = importlib.util.spec_from_file_location(f"factloom_rules_{n}_{pathlib.Path(file).stem}", file)
+        spec.loader.exec_module(importlib.util.module_from_spec(spec))  # type: ignore[union-attr]
+    return sorted(set(REGISTRY) - before)
+
+
+def with_severity(found: DataFrame, rule_id: str, severity: str) -> DataFrame:
+    """The findings, those of one rule with another severity."""
+    if severity not in SEVERITIES:
+        raise ValueError(f"{severity} is no severity")
+    return found.withColumn("severity", F.when(F.col("rule_id") == rule_id, severity).otherwise(F.col("severity")))
+
+
 def exit_code(found: DataFrame, fail_on: str, complete: bool = True) -> int:
     """124 for an incomplete scan, 1 for a finding as severe as ``fail_on``, else 0."""
     if not complete:
