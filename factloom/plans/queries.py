@@ -394,16 +394,26 @@ def cfg_simple_paths(spark: SparkSession, d: str) -> DataFrame:
 _FLOW = "(SELECT source_expr AS src, target_expr AS dst FROM " + sql_of("flow_edges") + " f{})"
 
 
-@query(_closure_sql(_FLOW.format(""), "SELECT 's' || s_suppkey AS root FROM supplier WHERE s_acctbal < 0 OR s_acctbal > 9000", 4, False))
+def _keyed_closure_sql(edges: str, roots: str) -> str:
+    """Up to 50 levels, where each pair is found once."""
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {edges} x), r(root, node, depth) USING KEY (root, node) AS (SELECT root, root, 0 FROM ({roots}) y
+UNION SELECT r.root, e.dst, min(r.depth) + 1 FROM r JOIN e ON e.src = r.node LEFT JOIN recurring.r k ON k.root = r.root AND k.node = e.dst WHERE k.root IS NULL AND r.depth < 50 GROUP BY 1, 2)
+SELECT root, node, CAST(depth AS INT) AS depth FROM r WHERE root <> node"""
+
+
+_SUPPLIERS = "SELECT 's' || s_suppkey AS root FROM supplier"
+
+
+@query(_keyed_closure_sql(_FLOW.format(""), _SUPPLIERS))
 def vf_name_linked_reach(spark: SparkSession, d: str) -> DataFrame:
-    reads = table(spark, d, "supplier").where("s_acctbal < 0 OR s_acctbal > 9000").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("root"))
-    return flow.name_linked(view(spark, d, "flow_edges"), reads, 4)
+    reads = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("root"))
+    return flow.name_linked(view(spark, d, "flow_edges"), reads)
 
 
-@query(_closure_sql(_FLOW.format(" WHERE kind IS NULL OR kind IN ('alias', 'assign', 'annotated_assign', 'chain', 'return')"), "SELECT 's' || s_suppkey AS root FROM supplier WHERE s_acctbal < 0 OR s_acctbal > 9000", 3, False))
+@query(_keyed_closure_sql(_FLOW.format(" WHERE kind IS NULL OR kind IN ('alias', 'assign', 'annotated_assign', 'chain', 'return')"), _SUPPLIERS))
 def vf_preserves_whole_value(spark: SparkSession, d: str) -> DataFrame:
-    reads = table(spark, d, "supplier").where("s_acctbal < 0 OR s_acctbal > 9000").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("root"))
-    return flow.whole_value_reach(view(spark, d, "flow_edges"), reads, 3)
+    reads = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("root"))
+    return flow.whole_value_reach(view(spark, d, "flow_edges"), reads)
 
 
 _ARGS = "SELECT l_orderkey AS call_id, 'p' || CAST(l_partkey AS STRING) AS callee, CAST(l_linenumber AS INT) - 1 AS position, CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS keyword, CAST(l_suppkey AS STRING) AS expression FROM {}"
@@ -565,7 +575,7 @@ _OWNERS = "SELECT 'r' || CAST(c_custkey AS STRING) AS owner, 'C:' || CAST(c_cust
 
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {sql_of("dag")} x), o AS ({_OWNERS.format("customer")}),
 h AS (SELECT DISTINCT 'N:' || n_nationkey AS hook, 'BUILDING' AS grp FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'X:0', NULL),
-r(root, node, depth) AS (SELECT root, root, 0 FROM (SELECT handler AS root FROM o UNION SELECT hook FROM h) y UNION SELECT root, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 2),
+r(root, node, depth) AS (SELECT root, root, 0 FROM (SELECT handler AS root FROM o UNION SELECT hook FROM h) y UNION SELECT root, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 5),
 s AS (SELECT owner, 'body' AS scope, handler AS function FROM o
  UNION SELECT owner, 'reachable', node FROM o JOIN r ON root = handler
  UNION SELECT owner, 'full_stack', node FROM o JOIN r ON root = handler
@@ -575,7 +585,7 @@ def scope_members_by_kind(spark: SparkSession, d: str) -> DataFrame:
     owners = spark.sql(_OWNERS.format("{customer}"), customer=table(spark, d, "customer")).withColumnRenamed("grp", "group")
     hooks = table(spark, d, "nation").where("n_nationkey = 3").select(F.concat(F.lit("N:"), F.col("n_nationkey").cast("string")).alias("hook"), F.lit("BUILDING").alias("group"))
     hooks = hooks.union(spark.sql("SELECT 'X:0', CAST(NULL AS STRING)"))
-    found = scopes.members(owners, view(spark, d, "dag"), hooks, 2)
+    found = scopes.members(owners, view(spark, d, "dag"), hooks)
     return scopes.counted(found)
 
 
