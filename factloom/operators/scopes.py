@@ -56,15 +56,24 @@ def facts_in(scope: DataFrame, facts: DataFrame) -> DataFrame:
     return scope.join(facts, "function")
 
 
-def with_any(owners: DataFrame, scope: DataFrame, facts: DataFrame, kind: str) -> DataFrame:
-    """Owners with some fact (``function``) in the scope; all of them where a function that belongs to all has one."""
+def _hits(scope: DataFrame, facts: DataFrame, kind: str) -> DataFrame:
+    return scope.where(F.col("scope") == kind).join(facts.select("function"), "function", "left_semi").select("owner")
+
+
+def with_any(owners: DataFrame, scope: DataFrame, facts: DataFrame, kind: str, common: bool = True) -> DataFrame:
+    """Owners with some fact (``function``) in the scope; all of them where a function that belongs to all has one. Without
+    ``common`` members, one semi-join does."""
+    if not common:
+        return owners.join(_hits(scope, facts, kind), "owner", "left_semi")
     return owners.join(without(owners, scope, facts, kind).select("owner"), "owner", "left_anti")
 
 
-def without(owners: DataFrame, scope: DataFrame, checks: DataFrame, kind: str = "full_stack") -> DataFrame:
+def without(owners: DataFrame, scope: DataFrame, checks: DataFrame, kind: str = "full_stack", common: bool = True) -> DataFrame:
     """Owners with no check (``function``) anywhere in the scope; a check that all share leaves nobody."""
-    hits = scope.where(F.col("scope") == kind).join(checks.select("function").distinct(), "function", "left_semi").select("owner").distinct()
+    hits = _hits(scope, checks, kind)
     some = owners.join(hits.where("owner IS NOT NULL"), "owner", "left_anti")
+    if not common:
+        return some
     shared = hits.where("owner IS NULL").agg(F.count(F.lit(1)).alias("_shared"))  # one row
     return some.withColumn("_shared", F.lit(0).cast("bigint")).join(F.broadcast(shared), "_shared", "left_semi").drop("_shared")
 

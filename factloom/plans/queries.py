@@ -505,14 +505,14 @@ AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_ret
 AND NOT EXISTS (SELECT 1 FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey WHERE l.l_orderkey = o.o_orderkey AND p.p_size >= 40) AND o_orderpriority <> '1-URGENT'""")
 def guardless_open_orders(spark: SparkSession, d: str) -> DataFrame:
     """Routes that write state in their reachable scope and have no guard there: routes, semi-join, anti-join."""
-    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     orders, lines, parts = (table(spark, d, t) for t in ("orders", "lineitem", "part"))
-    routes = orders.where("o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT'").select(name("O:", "o_orderkey").alias("owner"), "o_custkey")
-    scope = lines.select(name("O:", "l_orderkey").alias("owner"), F.lit("reachable").alias("scope"), F.concat(name("P:", "l_partkey"), F.lit("/"), F.col("l_returnflag")).alias("function"))
-    writes = scope.where("function LIKE '%/R'").select("function")
-    big = parts.where("p_size >= 40").select(F.explode(F.array(*(F.concat(name("P:", "p_partkey"), F.lit(f"/{flag}")) for flag in "ANR"))).alias("function"))
-    hit = scopes.with_any(routes, scope, writes, "reachable")
-    return scopes.without(hit, scope, big, "reachable").select(F.col("owner").alias("route"), "o_custkey")
+    routes = orders.where("o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("owner"), "o_custkey")
+    scope = lines.select(F.col("l_orderkey").alias("owner"), F.lit("reachable").alias("scope"), F.struct("l_partkey", "l_returnflag").alias("function"))
+    writes = lines.where("l_returnflag = 'R'").select(F.struct("l_partkey", "l_returnflag").alias("function")).distinct()
+    big = parts.where("p_size >= 40").select(F.explode(F.array(*(F.struct(F.col("p_partkey").alias("l_partkey"), F.lit(flag).alias("l_returnflag")) for flag in "ANR"))).alias("function"))
+    hit = scopes.with_any(routes, scope, writes, "reachable", common=False)
+    found = scopes.without(hit, scope, big, "reachable", common=False)
+    return found.select(F.concat(F.lit("O:"), F.col("owner").cast("string")).alias("route"), "o_custkey")
 
 
 @query("SELECT 'big-tax' AS rule_id, l_orderkey, CAST(count(*) AS BIGINT) AS n_evidence, min(l_linenumber) AS first_line FROM lineitem WHERE l_tax >= 0.07 GROUP BY l_orderkey")
