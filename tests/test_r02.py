@@ -32,6 +32,6 @@ def long_orders(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["value_traces", "reads_flowing_to", "value_derived_from", "value_logical_inputs"])
+@pytest.mark.parametrize("name", ["value_traces", "reads_flowing_to", "value_derived_from", "value_logical_inputs", "whole_value_handles"])
 def test_ten_levels(spark, long_orders, name):
     assert same(spark, long_orders, name)
