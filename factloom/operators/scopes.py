@@ -51,6 +51,30 @@ def counted(scope: DataFrame) -> DataFrame:
     return joined.select("owner", "scope", n.alias("n_functions"))
 
 
+def sizes(owners: DataFrame, edges: DataFrame, hooks: DataFrame, max_depth: int = 5) -> DataFrame:
+    """``counted`` of ``members``, by arithmetic: owners of the same groups share one list of what their hooks reach, which is not
+    repeated for each of them, and of an owner's own functions only those outside that list are added to its length."""
+    owners = owners.where("owner IS NOT NULL")
+    starts = owners.select(F.col("handler").alias("root")).union(hooks.select("hook")).distinct()
+    reach = closure(edges, starts, max_depth, include_root=True).select("root", F.col("node").alias("function"))
+    own = owners.join(reach, F.col("handler") == F.col("root")).select("owner", "function").distinct()
+    hooked = hooks.join(reach, F.col("hook") == F.col("root")).select("group", "function").distinct()
+    common = hooked.where("group IS NULL").select("function")
+    of_group = hooked.where("group IS NOT NULL").join(common, "function", "left_anti")
+    groups = owners.join(hooks.select("group").distinct(), "group").groupBy("owner").agg(F.sort_array(F.collect_set("group")).alias("groups"))
+    listed = groups.select("groups").distinct().select("groups", F.explode("groups").alias("group")).join(of_group, "group").select("groups", "function").distinct()
+    marked = own.join(groups, "owner", "left").join(common.withColumn("_common", F.lit(True)), "function", "left").join(listed.withColumn("_listed", F.lit(True)), ["groups", "function"], "left")
+    added = F.count(F.when(F.col("_common").isNull() & F.col("_listed").isNull(), 1))
+    per_owner = marked.groupBy("owner").agg(F.count(F.lit(1)).alias("_own"), added.alias("_added"))
+    lengths = listed.groupBy("groups").agg(F.count(F.lit(1)).alias("_listed"))
+    whole = per_owner.join(groups, "owner", "full").join(lengths, "groups", "left").crossJoin(F.broadcast(common.agg(F.count(F.lit(1)).alias("_all"))))  # one row
+    n = F.col("_all") + F.coalesce("_listed", F.lit(0)) + F.coalesce("_added", F.lit(0))
+    body = owners.select("owner", "handler").distinct().groupBy("owner").agg(F.count(F.lit(1)).alias("n_functions"))
+    each = {"body": body, "reachable": per_owner.select("owner", F.col("_own").alias("n_functions")), "full_stack": whole.select("owner", n.alias("n_functions"))}
+    parts = [df.select("owner", F.lit(scope).alias("scope"), "n_functions") for scope, df in each.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def facts_in(scope: DataFrame, facts: DataFrame) -> DataFrame:
     """``owner``, ``scope`` with the facts (``function``, ...) of their functions; a null owner stands for all of them."""
     return scope.join(facts, "function")
