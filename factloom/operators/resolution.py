@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dotted_prefixes
-from .joins import as_of, in_interval, longest_prefix
+from .joins import as_of, longest_prefix
 
 #: Re-exports that follow one another up to so many times.
 CHAIN = 8
@@ -17,7 +17,7 @@ def binding_ranges(bindings: DataFrame) -> DataFrame:
 
     Imports, definitions and assignments are bindings alike; of several on one line the greatest target counts.
     """
-    one = bindings.groupBy("file", "name", "line").agg(F.max("target").alias("target"))
+    one = bindings.repartition("file", "name").groupBy("file", "name", "line").agg(F.max("target").alias("target"))  # one shuffle serves both
     return one.withColumn("until", F.lead("line").over(Window.partitionBy("file", "name").orderBy("line")))
 
 
@@ -27,17 +27,19 @@ def meant_at(refs: DataFrame, bindings: DataFrame) -> DataFrame:
     return as_of(refs, one, ["file", "name"], "line", "line", "target")
 
 
-def shadowed(refs: DataFrame, shadows: DataFrame, width: int = 1000) -> DataFrame:
+def shadowed(refs: DataFrame, shadows: DataFrame) -> DataFrame:
     """References whose ``fqn`` an import's range rewrites: ``file``, ``name``, ``line``, ``fqn``, the range's target instead of the name's.
 
-    shadows: rows of ``binding_ranges``. References outside all ranges keep theirs.
+    shadows: rows of ``binding_ranges``, which do not overlap, so the latest one that began decides. References outside all ranges keep theirs.
     """
-    columns = refs.columns
-    numbered = refs.withColumn("_ref", F.monotonically_increasing_id())
-    ranges = shadows.select("file", "name", F.col("line").alias("_from"), F.col("until").alias("_until"), F.col("target").alias("_target"))
-    hits = in_interval(numbered, ranges, ["file", "name"], "line", "_from", "_until", width).select("_ref", "_target")
-    joined = numbered.join(hits, "_ref", "left")
-    return joined.withColumn("fqn", F.coalesce("_target", "fqn")).select(*columns)
+    range_ = F.struct(F.col("line").alias("from"), "until", "target")
+    rows = refs.select("file", "name", "line", F.lit(1).alias("_order"), F.struct(*refs.columns).alias("_ref"))
+    rows = rows.unionByName(shadows.select("file", "name", "line", F.lit(0).alias("_order"), range_.alias("_range")), allowMissingColumns=True)
+    latest = F.last("_range", ignorenulls=True).over(Window.partitionBy("file", "name").orderBy("line", "_order").rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumn("_range", latest).where("_ref IS NOT NULL")
+    held = F.col("file").isNotNull() & F.col("name").isNotNull() & (F.col("line") >= F.col("_range.from")) & (F.col("_range.until").isNull() | (F.col("line") < F.col("_range.until")))
+    meant = F.coalesce(F.when(held, F.col("_range.target")), F.col("_ref.fqn"))
+    return found.select(*(meant.alias(c) if c == "fqn" else F.col(f"_ref.{c}").alias(c) for c in refs.columns))
 
 
 def closed_exports(exports: DataFrame, rounds: int = CHAIN) -> DataFrame:
