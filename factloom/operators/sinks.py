@@ -40,7 +40,14 @@ def reached_sinks(sinks: DataFrame, reads: DataFrame, reach: DataFrame, safe: Da
     Those that a predicate proved (``proved``) need no flow, only a read of text in the same scope. sinks: ``sink``, ``scope``,
     ``value``, ``proved``; reads: ``scope``, ``value``, ``is_text``; reach: ``root``, ``node``.
     """
-    ways = reads.select("scope", F.col("value").alias("root")).distinct().join(reach, "root").select("scope", F.col("node").alias("value"))
-    by_flow = sinks.where("NOT proved").join(ways, ["scope", "value"], "left_semi")
-    by_place = sinks.where("proved").join(reads.where("is_text").select("scope"), "scope", "left_semi")
-    return by_flow.unionByName(by_place).join(safe.select("sink"), "sink", "left_anti")
+    pairs = reach.select("root", F.col("node").alias("value"))
+    scopes = reads.groupBy("scope").agg(F.min("value").alias("root"), F.max("value").alias("_last"), F.max(F.coalesce("is_text", F.lit(False))).alias("_text"))
+    met = sinks.join(scopes, "scope")
+    by_place = met.where("proved AND _text")
+    by_flow = met.where("NOT proved AND root = _last").join(pairs, ["root", "value"], "left_semi")  # one value is read there
+    crowded = met.where("NOT proved AND root != _last").drop("root")
+    roots = reads.join(scopes.where("root != _last").select("scope"), "scope", "left_semi").select("scope", F.col("value").alias("root")).distinct()
+    asked = crowded.select("scope", "value").distinct().join(roots, "scope").join(pairs, ["root", "value"], "left_semi").select("scope", "value")
+    by_one = crowded.join(asked, ["scope", "value"], "left_semi")
+    found = by_flow.select(*sinks.columns).union(by_one.select(*sinks.columns)).union(by_place.select(*sinks.columns))
+    return found.join(safe.select("sink"), "sink", "left_anti")
