@@ -11,6 +11,8 @@ from ..functions.scalars import REQUEST, SERVER, dotted_suffixes, path_parameter
 from .flow import argument_bridge
 from .graph import closure
 
+#: Rows up to which the registered side of a dispatch goes to every task.
+SMALL = 300_000
 #: Method names, and beginnings of such, that write; receivers whose methods of that name keep nothing.
 WRITE_VERBS = ("delete", "remove", "destroy", "save", "update", "create", "insert", "add", "write", "store", "put", "commit", "flush", "persist")
 WRITE_PREFIXES = ("delete_", "remove_", "destroy_", "save_", "update_", "create_", "insert_", "add_", "write_", "store_", "put_", "set_")
@@ -80,6 +82,16 @@ def path_reads(routes: DataFrame, parameters: DataFrame) -> DataFrame:
     return named.join(parameters.select("callee", F.col("name").alias("key")).distinct(), ["callee", "key"], "left_semi").select("route", F.col("callee").alias("function"), "key", "type")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """The rows, for every task where they are few."""
+    return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
+
+
+def _several(rows: DataFrame, of: str) -> DataFrame:
+    """Distinct rows with ``_several``: whether their ``of`` has more than one."""
+    return rows.repartition(of).distinct().withColumn("_several", F.count(F.lit(1)).over(Window.partitionBy(of)) > 1)
+
+
 def signal_edges(registered: DataFrame, sent: DataFrame) -> DataFrame:
     """Dispatch edges ``src``, ``dst``: who sends a signal reaches everyone that is registered for it. registered: ``signal``, ``handler``; sent:
     ``signal``, ``sender``."""
@@ -87,10 +99,19 @@ def signal_edges(registered: DataFrame, sent: DataFrame) -> DataFrame:
 
 
 def table_edges(tables: DataFrame, lookups: DataFrame) -> DataFrame:
-    """Dispatch edges through literal tables: ``src``, ``dst``. tables: ``table``, ``key``, ``handler``; lookups: ``caller``, ``table``, ``key`` (null: any)."""
-    known = lookups.where("key IS NOT NULL").join(tables, ["table", "key"])
-    anyone = lookups.where("key IS NULL").drop("key").join(tables, "table")
-    return known.select("caller", "handler").union(anyone.select("caller", "handler")).distinct().toDF("src", "dst")
+    """Dispatch edges through literal tables: ``src``, ``dst``. tables: ``table``, ``key``, ``handler``; lookups: ``caller``, ``table``, ``key`` (null: any).
+    A caller of one lookup meets each handler once; only the pairs of other callers are compared."""
+    entries, any_key = _sent(tables.select("table", "key", "handler").distinct()), _sent(tables.select("table", "handler").distinct())
+    looked = _several(lookups.select("caller", "table", "key"), "caller")
+
+    def pairs(kept: DataFrame) -> DataFrame:
+        known = kept.where("key IS NOT NULL").join(entries, ["table", "key"])
+        anyone = kept.where("key IS NULL").drop("key").join(any_key, "table")
+        return known.select("caller", "handler").union(anyone.select("caller", "handler")).toDF("src", "dst")
+
+    several = looked.where("_several")
+    once = pairs(looked.where("NOT _several"))
+    return once if several.isEmpty() else once.union(pairs(several).distinct())
 
 
 def group_nesting(mounts: DataFrame, depth: int = 20) -> DataFrame:
