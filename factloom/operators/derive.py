@@ -94,8 +94,12 @@ def _several(rows: DataFrame, of: str) -> DataFrame:
 
 def signal_edges(registered: DataFrame, sent: DataFrame) -> DataFrame:
     """Dispatch edges ``src``, ``dst``: who sends a signal reaches everyone that is registered for it. registered: ``signal``, ``handler``; sent:
-    ``signal``, ``sender``."""
-    return sent.join(registered, "signal").select(F.col("sender").alias("src"), F.col("handler").alias("dst")).distinct()
+    ``signal``, ``sender``. A handler of one signal meets a sender once; only the pairs of other handlers are compared."""
+    known, sent = _several(registered.select("signal", "handler"), "handler"), sent.select("signal", "sender").distinct()
+    pairs = lambda kept: sent.join(_sent(kept.drop("_several")), "signal").select(F.col("sender").alias("src"), F.col("handler").alias("dst"))
+    several = known.where("_several")
+    once = pairs(known.where("NOT _several"))
+    return once if several.isEmpty() else once.union(pairs(several).distinct())
 
 
 def table_edges(tables: DataFrame, lookups: DataFrame) -> DataFrame:
