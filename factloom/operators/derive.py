@@ -196,8 +196,8 @@ def chain_links(assignments: DataFrame) -> DataFrame:
 
 def in_order(places: DataFrame, ordered: DataFrame) -> DataFrame:
     """``list``, ``holds``: whether each place of a list precedes the next. places: ``list``, ``ord``, ``place``; ordered: ``a``, ``b`` pairs known
-    to be in order."""
-    window = Window.partitionBy("list").orderBy("ord")
+    to be in order. Places of one ``ord`` follow each other by ``place``, so that the result does not hang on the order of rows."""
+    window = Window.partitionBy("list").orderBy("ord", "place")
     pairs = places.select("list", F.col("place").alias("a"), F.lead("place").over(window).alias("b")).where("b IS NOT NULL")
     known = ordered.select("a", "b").distinct().withColumn("_known", F.lit(True))
     return pairs.join(known, ["a", "b"], "left").groupBy("list").agg(F.every(F.col("_known").isNotNull()).alias("holds"))
