@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepared, tidy
+from .common import give_back, prepared, tidy
 
 #: A task's windows are numbered from partition << SHIFT.
 SHIFT = 33
@@ -30,6 +30,8 @@ SHIFT = 33
 OPEN = 4096
 #: Words whose ids a worker remembers: so many of the newest, and as many older ones.
 REMEMBER = 75_000
+#: Distinct chunks whose words are found, and texts whose ids are put together, at once.
+BLOCK, TEXTS = 8192, 64
 
 
 #: What the quick way leaves to the library (white space beyond ASCII's common kinds, a capital whose
@@ -52,8 +54,7 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        with open(path, encoding="utf-8") as f:
-            pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        pattern = json.loads(self._tokenizer.pre_tokenizer.__getstate__())["pretokenizers"][0]["pattern"]["Regex"]
         self._words_of = regex.compile(f"{pattern}| ").findall
         self._model = self._tokenizer.model.tokenize
         # Byte-level letters: printable Latin-1 stands for itself, the other bytes follow from 256 on.
@@ -68,21 +69,23 @@ class WordTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _ids_of_chunks(self, chunks: list[str]) -> list[bytes]:
-        """The chunks' ids; the words of all of them are found in one search."""
-        words, old, out, parts = self._words, self._old_words, [], []
-        for w in self._words_of(" ".join([*chunks, ""]).lower()):
-            if w == " ":
-                out.append(parts[0] if len(parts) == 1 else b"".join(parts))
-                parts = []
-                continue
-            ids = words.get(w)
-            if ids is None:
-                ids = old.get(w)
-                words[w] = ids = self._word_ids(w) if ids is None else ids
-            parts.append(ids)
-        if len(words) > REMEMBER:
-            self._words, self._old_words = {}, words
+    def _ids_of_chunks(self, chunks: pa.Array) -> list[bytes]:
+        """The chunks' ids; the words of ``BLOCK`` of them are found in one search."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), BLOCK):
+            words, old, parts = self._words, self._old_words, []
+            for w in self._words_of(" ".join([*chunks.slice(at, BLOCK).to_pylist(), ""]).lower()):
+                if w == " ":
+                    out.append(parts[0] if len(parts) == 1 else b"".join(parts))
+                    parts = []
+                    continue
+                ids = words.get(w)
+                if ids is None:
+                    ids = old.get(w)
+                    words[w] = ids = self._word_ids(w) if ids is None else ids
+                parts.append(ids)
+            if len(words) > REMEMBER:
+                self._words, self._old_words = {}, words
         return out
 
     def _word_ids(self, word: str) -> bytes:
@@ -93,32 +96,41 @@ class WordTokenizer:
         odd = pc.match_substring_regex(texts, _ODD).to_pylist()
         marked = pc.match_substring(texts, "<|").to_pylist()
         whole = [o or (m and any(s in texts[i].as_py() for s in self._special)) for i, (o, m) in enumerate(zip(odd, marked, strict=True))]
-        parted = iter(self._parted(texts.filter(pa.array([not w for w in whole], pa.bool_()))))
+        parted = self._parted(texts.filter(pa.array([not w for w in whole], pa.bool_())))
         return [self._whole(texts[i].as_py()) if w else next(parted) for i, w in enumerate(whole)]
 
-    def _parted(self, texts: pa.Array) -> list[bytes]:
+    def _parted(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids are put together for ``TEXTS`` texts at once."""
         if not len(texts):
-            return []
+            return
         lists = pc.ascii_split_whitespace(texts)
-        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends = lists.offsets.to_numpy()
         coded = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
-        ids = self._ids_of_chunks(coded.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(ids), "<u4")
+        ends, indices = ends - ends[0], coded.indices.to_numpy()
+        del lists
+        ids = self._ids_of_chunks(coded.dictionary)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        del ids, coded
         starts = np.cumsum(sizes) - sizes
-        at = coded.indices.to_numpy()
-        lengths = sizes[at]
-        after = np.cumsum(lengths)
-        shift = starts[at] - (after - lengths)  # 32 bits do for a slice of texts
-        out = flat[np.repeat(shift.astype(np.int32), lengths) + np.arange(int(after[-1]) if len(after) else 0, dtype=np.int32)]
-        cuts = np.concatenate([[0], after])[ends - ends[0]].tolist()
-        return [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for first in range(0, len(texts), TEXTS):
+            cuts = ends[first : first + TEXTS + 1]
+            at = indices[cuts[0] : cuts[-1]]
+            lengths = sizes[at]
+            after = np.cumsum(lengths)
+            shift = starts[at] - (after - lengths)  # 32 bits do for a slice of texts
+            out = flat[np.repeat(shift.astype(np.int32), lengths) + np.arange(int(after[-1]) if len(after) else 0, dtype=np.int32)]
+            places = np.concatenate([[0], after])[cuts - cuts[0]].tolist()
+            for a, b in zip(places[:-1], places[1:], strict=True):
+                yield out[a:b].tobytes()
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer per worker."""
-    return WordTokenizer(path)
+    made = WordTokenizer(path)
+    give_back()  # what reading the file took
+    return made
 
 
 class SumOfSquares:
